@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from maskwright.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.packing import pack, piece_digests
+
+    return piece_digests(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.simhash import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_simhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op7_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
