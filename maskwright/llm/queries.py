@@ -21,12 +21,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.simhash import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op7_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_benchmark_decontamination, op7_simhash_near_dedup)}
+
+def _oracles() -> dict[str, str]:
+    from maskwright.llm import decontam
+
+    return {"op3_benchmark_decontamination": decontam.ORACLE_SQL}
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = _oracles()
