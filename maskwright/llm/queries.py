@@ -27,18 +27,24 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.blob_ledger import digest, findings, update
+
+    return digest(findings(*update(table(spark, sf_dir, "documents"))))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.simhash import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_benchmark_decontamination, op7_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_benchmark_decontamination, op4_secret_scan, op7_simhash_near_dedup)}
 
 def _oracles() -> dict[str, str]:
-    from maskwright.llm import decontam
+    from maskwright.llm import blob_ledger, decontam
 
-    return {"op3_benchmark_decontamination": decontam.ORACLE_SQL}
+    return {"op3_benchmark_decontamination": decontam.ORACLE_SQL, "op4_secret_scan": blob_ledger.ORACLE_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
