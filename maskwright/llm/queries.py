@@ -15,6 +15,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.lang_id import fit, held_out_rows, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, held_out_rows())
+    rows = docs.select("doc_id", "text", held_out_rows().alias("held_out"))
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.packing import pack, piece_digests
 
@@ -39,7 +48,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_benchmark_decontamination, op4_secret_scan, op7_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op7_simhash_near_dedup)}
 
 def _oracles() -> dict[str, str]:
     from maskwright.llm import blob_ledger, decontam
