@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import slices
-from maskwright.llm.tokens import WordIds
+from maskwright.llm.tokens import coder
 
 Piece = tuple[int | None, int, np.ndarray, int]  # doc_id, start, ids, the document's number of ids
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -101,9 +101,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         seq = (context.partitionId() if context else 0) << 40
-        coder, packer, out = WordIds(tokenizer_path), Packer(window, open_windows), []
+        words, packer, out = coder(tokenizer_path), Packer(window, open_windows), []
         for b in slices(batches, limit=1 << 20):
-            flat, lengths = coder.encode(b.column("text").to_pylist())
+            flat, lengths = words.encode(b.column("text").to_pylist())
             at = 0
             for doc_id, n in zip(b.column("doc_id").to_pylist(), lengths.tolist()):
                 out += packer.add(doc_id, np.append(flat[at : at + n], np.uint32(end_id)))

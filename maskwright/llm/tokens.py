@@ -97,3 +97,13 @@ class WordIds:
             parts = [odd.get(i, flat[at[i] : at[i + 1]]) for i in range(len(texts))]
             flat, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
         return flat, lengths
+
+
+_CODERS: dict[str, WordIds] = {}
+
+
+def coder(path: str) -> WordIds:
+    """This process's coder of a file: a Python worker keeps its word cache from task to task."""
+    if path not in _CODERS:
+        _CODERS[path] = WordIds(path)
+    return _CODERS[path]
