@@ -42,13 +42,23 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(findings(*update(table(spark, sf_dir, "documents"))))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.lang_id import held_out_rows
+    from maskwright.llm.toxicity import fit, score
+
+    docs, held_out = table(spark, sf_dir, "documents"), held_out_rows(5, 0)
+    model = fit(docs, table(spark, sf_dir, "labels"), held_out)
+    rows = score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return rows.selectExpr("doc_id", "held_out", "toxicity AS score", "CAST(toxicity >= 0.5 AS INT) AS predicted")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.simhash import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op7_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup)}
 
 def _oracles() -> dict[str, str]:
     from maskwright.llm import blob_ledger, decontam
