@@ -58,7 +58,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup)}
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.jpeg import features, media
+
+    return features(media(table(spark, sf_dir, "documents"))).drop("width", "height")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup, op8_media_columns,
+)}
 
 def _oracles() -> dict[str, str]:
     from maskwright.llm import blob_ledger, decontam
