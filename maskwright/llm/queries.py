@@ -64,8 +64,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(media(table(spark, sf_dir, "documents"))).drop("width", "height")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.kneser_ney import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup, op8_media_columns,
+    op10_quality_classifier,
 )}
 
 def _oracles() -> dict[str, str]:
