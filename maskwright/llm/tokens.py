@@ -9,7 +9,6 @@ way; any other text goes to the tokenizer whole.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from itertools import repeat
 
@@ -45,28 +44,45 @@ class WordIds:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = self._whole(" ".join(words))
-        ends = np.nonzero(self.last[ids])[0] + 1  # of the pre-tokenizer's words
-        inner = np.cumsum([1 if w.isalpha() else len(_WORD.findall(w)) for w in words])
-        if len(ends) == inner[-1]:
-            ends = ends[inner - 1]
-        else:  # not the vocabulary this shortcut was made for
-            parts = [self._whole(w) for w in words]
-            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at = len(self.seen)
         while at + len(words) > len(self.start):
             self.start, self.size = np.concatenate((self.start, self.start)), np.concatenate((self.size, self.size))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[at : at + len(words)] = self.used + np.concatenate(([0], ends[:-1]))
-        self.size[at : at + len(words)] = np.diff(ends, prepend=0)
+        self.start[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(words)] = sizes
         self.used += len(ids)
         self.seen.update(zip(words, range(at, at + len(words))))
 
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the coded chunks in a row, size of each)."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(total)], size
+
+    def _learn(self, words: list[str]) -> None:
+        # letters and one sign after them are two words to the pre-tokenizer: only the letters are asked for, once
+        stems = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and not w[-1].isalpha() and w[:-1].isalpha()}
+        plain = dict.fromkeys(x for w in words for x in stems.get(w, (w,)) if x not in self.seen)
+        if plain:
+            asked = list(plain)
+            ids = self._whole(" ".join(asked))
+            ends = np.nonzero(self.last[ids])[0] + 1  # of the pre-tokenizer's words
+            inner = np.cumsum([1 if w.isalpha() else len(_WORD.findall(w)) for w in asked])
+            if len(ends) == inner[-1]:
+                self._add(asked, ids, np.diff(ends[inner - 1], prepend=0))
+            else:  # not the vocabulary this shortcut was made for
+                parts = [self._whole(w) for w in asked]
+                self._add(asked, np.concatenate(parts), np.array([len(p) for p in parts]))
+        if stems:
+            ids, sizes = self._gather(np.array([self.seen[x] for w in stems for x in stems[w]]))
+            self._add(list(stems), ids, sizes.reshape(-1, 2).sum(axis=1))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
         counts, odd = np.zeros(len(texts), np.int64), {}
@@ -85,12 +101,10 @@ class WordIds:
         miss = np.nonzero(codes < 0)[0]
         if len(miss):
             new = [words[i] for i in miss.tolist()]
-            self._learn([sys.intern(w) for w in dict.fromkeys(new)])
+            self._learn(list(dict.fromkeys(new)))
             codes[miss] = [self.seen[w] for w in new]
-        size = self.size[codes]
+        flat, size = self._gather(codes)
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(total)]
         at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         lengths = np.diff(at)
         if odd:
