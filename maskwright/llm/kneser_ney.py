@@ -13,8 +13,8 @@ every shard has). The model is cut into shards by that pair, each of at most `sh
 broadcast; each shard scores its own positions of every document, and sums are added. One shard, the common case, is one map
 pass.
 
-A document is kept if its perplexity is at most its language's threshold: the quantile of the trusted documents' perplexities
-in that language. Languages without a trusted document take the quantile over all trusted ones.
+A document is kept if its perplexity is at most its language's threshold: `slack` times the quantile of the trusted documents'
+perplexities in that language (very short texts have a long upper tail, which a bare quantile would cut off). Languages without a trusted document take the quantile over all trusted ones.
 
 Defined cases: null text is the empty text, of which the end mark is scored; a null language is `und`; labels are matched by
 doc_id, and a document is trusted if any of its labels says 1; repeated rows are scored each; null doc_ids are never
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000) -> Dat
     return out.select("doc_id", "lang", "n_scored", F.exp(-F.col("lp") / F.col("n_scored")).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, accuracy: int = 10_000, shard_rows: int = 4_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 2.0, accuracy: int = 10_000, shard_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, lang, n_scored, perplexity, threshold, kept) of every row; `labels` (doc_id, quality) names the trusted texts."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -234,5 +234,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, accura
     known = scored.join(trusted, "doc_id", "left_semi")
     bound = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, accuracy).alias("own"))  # a row a language
     general = known.agg(F.percentile_approx("perplexity", quantile, accuracy).alias("general"))
-    out = scored.join(bound, "lang", "left").crossJoin(F.broadcast(general)).withColumn("threshold", F.coalesce("own", "general"))  # one row
+    out = scored.join(bound, "lang", "left").crossJoin(F.broadcast(general)).withColumn("threshold", F.coalesce("own", "general") * slack)  # one row
     return out.select("doc_id", "lang", "n_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
