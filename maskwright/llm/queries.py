@@ -42,6 +42,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(findings(*update(table(spark, sf_dir, "documents"))))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.html_crf import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.lang_id import held_out_rows
     from maskwright.llm.toxicity import fit, score
@@ -71,7 +77,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup, op8_media_columns,
+    op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op5_html_extraction,
+    op6_toxicity, op7_simhash_near_dedup, op8_media_columns,
     op10_quality_classifier,
 )}
 
