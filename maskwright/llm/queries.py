@@ -70,6 +70,12 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(media(table(spark, sf_dir, "documents"))).drop("width", "height")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.kneser_ney import classify
 
@@ -78,7 +84,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_packing, op3_benchmark_decontamination, op4_secret_scan, op5_html_extraction,
-    op6_toxicity, op7_simhash_near_dedup, op8_media_columns,
+    op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_suffix_array_dedup,
     op10_quality_classifier,
 )}
 
