@@ -24,6 +24,7 @@ empty table gives no rows; extra columns pass by unread.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, slices
+from maskwright.llm.common import materialize, release_memory, slices
 
 ORDER = 5
 BITS = 12
@@ -153,12 +154,23 @@ class Lookup:
         return value, found
 
 
+_BUILT: dict[str, dict[int, Lookup]] = {}
+
+
 class Shard:
-    """Tables of the positions whose two preceding characters fall to this shard."""
+    """Tables of the positions whose two preceding characters fall to this shard; built where they are first used."""
 
     def __init__(self, k: np.ndarray, key: np.ndarray, v: np.ndarray, number: int, of: int):
-        self.number, self.of = number, of
-        self.tables = {int(j): Lookup(key[k == j], v[k == j]) for j in np.unique(k)}
+        self.rows, self.number, self.of = (k, key, v), number, of
+        self.name = uuid.uuid4().hex
+
+    @property
+    def tables(self) -> dict[int, Lookup]:
+        if self.name not in _BUILT:  # a worker builds the tables of a shard once, and keeps those of one shard
+            k, key, v = self.rows
+            _BUILT.clear()
+            _BUILT[self.name] = {int(j): Lookup(key[k == j], v[k == j]) for j in np.unique(k)}
+        return _BUILT[self.name]
 
     def log_probability(self, g: np.ndarray) -> np.ndarray:
         """Natural logarithm of each 5-gram's last character given the four before it; 0 where another shard has it."""
@@ -167,16 +179,17 @@ class Shard:
             own = np.flatnonzero(shard_of(g >> BITS & ((1 << 2 * BITS) - 1), self.of) == self.number)
         else:
             own = np.arange(len(g))
+        tables = self.tables
         for k in range(ORDER, 0, -1):
             if not len(own):
                 break
-            if k in self.tables:
+            if k in tables:
                 gram = g[own] & ((1 << BITS * k) - 1)
-                value, found = self.tables[k](gram)
+                value, found = tables[k](gram)
                 out[own] += value
                 own, gram = own[~found], gram[~found]
                 if len(own):
-                    out[own] += self.tables[-k](gram >> BITS)[0]  # an unseen context passes everything on: log 1
+                    out[own] += tables[-k](gram >> BITS)[0]  # an unseen context passes everything on: log 1
         out[own] -= np.log(float(1 << BITS))
         return out
 
@@ -193,8 +206,10 @@ def shards(model: DataFrame, shard_rows: int = 4_000_000) -> Iterator[Shard]:
     pair = F.when(F.col("k") > 0, F.shiftright("key", BITS)).otherwise(F.col("key")).bitwiseAND((1 << 2 * BITS) - 1)
     owner = F.pmod((pair * 2654435761).bitwiseAND(0xFFFFFFFF), F.lit(of))
     for s in range(of):
-        got = (model.where((F.abs("k") <= 2) | (owner == s)) if of > 1 else model).toPandas()
-        yield Shard(got.k.to_numpy(), got.key.to_numpy(), got.v.to_numpy(np.float32), s, of)
+        got = (model.where((F.abs("k") <= 2) | (owner == s)) if of > 1 else model).toArrow()
+        yield Shard(*(got.column(c).to_numpy() for c in ("k", "key", "v")), s, of)
+        del got
+        release_memory()
 
 
 def score(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000) -> DataFrame:
