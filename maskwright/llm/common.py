@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are kept between tasks, and so is what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
