@@ -19,7 +19,7 @@ def _bare(m: Column) -> Column:
 
 
 def _digit(s: Column, at: int) -> Column:
-    return F.substring(s, at, 1).cast("int")
+    return F.substring(s, at, 1).try_cast("int")
 
 
 def _luhn_ok(digits: Column) -> Column:
@@ -33,7 +33,7 @@ def card_luhn(m: Column) -> Column:
 
 def email_local_part(m: Column) -> Column:
     local = F.split_part(m, F.lit("@"), F.lit(1))
-    return (local != "") & ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..")
+    return m.contains("@") & (local != "") & ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..")
 
 
 def ssn(m: Column) -> Column:
@@ -51,12 +51,12 @@ def steuer_id(m: Column) -> Column:
     d = _digits(m)
 
     def step(product: Column, at: Column) -> Column:
-        total = (F.substr(d, at, F.lit(1)).cast("int") + product) % 10
+        total = (F.substr(d, at, F.lit(1)).try_cast("int") + product) % 10
         return (F.when(total == 0, 10).otherwise(total) * 2) % 11
 
     last = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(10), step)
     check = F.when(last == 1, 0).otherwise(11 - last)
-    return (F.length(d) == 11) & (F.substring(d, 1, 1) != "0") & (check == _digit(d, 11))
+    return F.coalesce((F.length(d) == 11) & (F.substring(d, 1, 1) != "0") & (check == _digit(d, 11)), F.lit(False))
 
 
 def nir(m: Column) -> Column:
@@ -65,8 +65,8 @@ def nir(m: Column) -> Column:
     department = F.upper(F.substring(s, 6, 2))
     number = F.concat(F.substring(s, 1, 5), F.when(department == "2A", "19").when(department == "2B", "18").otherwise(department), F.substr(s, F.lit(8)))
     ok = number.rlike("^[0-9]{15}$")
-    base = F.when(ok, F.substring(number, 1, 13).cast("long"))
-    return F.coalesce(ok & (97 - base % 97 == F.substring(number, 14, 2).cast("long")), F.lit(False))
+    base = F.when(ok, F.substring(number, 1, 13).try_cast("long"))
+    return F.coalesce(ok & (97 - base % 97 == F.substring(number, 14, 2).try_cast("long")), F.lit(False))
 
 
 def luhn(m: Column) -> Column:
@@ -122,7 +122,7 @@ _NIR = "(substr(" + _B + ", 1, 5) || CASE upper(substr(" + _B + ", 6, 2)) WHEN '
 _MOVED = "(substr(upper(" + _B + "), 5) || substr(upper(" + _B + "), 1, 4))"
 _DUCK = {
     "card_luhn": f"(length({_D}) BETWEEN 13 AND 19 AND {_DUCK_LUHN.replace('{d}', _D)})",
-    "email_local_part": "regexp_matches({m}, '^[^@.]') AND NOT regexp_matches({m}, '^[^@]*[.]@') AND NOT regexp_matches({m}, '^[^@]*[.][.]')",
+    "email_local_part": "contains({m}, '@') AND regexp_matches({m}, '^[^@.]') AND NOT regexp_matches({m}, '^[^@]*[.]@') AND NOT regexp_matches({m}, '^[^@]*[.][.]')",
     "ssn": f"(length({_D}) = 9 AND CAST('0' || substr({_D}, 1, 3) AS INT) NOT IN (0, 666) AND CAST('0' || substr({_D}, 1, 3) AS INT) < 900 AND CAST('0' || substr({_D}, 4, 2) AS INT) > 0 AND CAST('0' || substr({_D}, 6, 4) AS INT) > 0)",
     "us_phone": "(contains({m}, '(') OR contains({m}, ')') OR contains({m}, '-') OR contains({m}, ' ') OR left({m}, 1) = '+')",
     "steuer_id": f"(length({_D}) = 11 AND left({_D}, 1) <> '0' AND (11 - list_reduce(list_concat([10], list_transform(string_split({_D}[:10], ''), lambda c: CAST(c AS INT))), lambda p, d: ((CASE WHEN (d + p) % 10 = 0 THEN 10 ELSE (d + p) % 10 END) * 2) % 11)) % 10 = CAST(right({_D}, 1) AS INT))",

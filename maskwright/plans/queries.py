@@ -254,10 +254,10 @@ def host_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts(spark, sf_dir).select("host", R.normalize_host(F.col("host")).alias("normalized"))
 
 
-@query("glob_match", X.values_sql(X.GLOBS, "glob, host, hit"))
+@query("glob_match", X.values_sql(X.GLOBS, "pat, host, hit"))
 def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([g[:2] for g in X.GLOBS], "glob string, host string")
-    return rows.select("glob", "host", R.glob_match(F.col("glob"), F.col("host")).alias("hit"))
+    rows = spark.createDataFrame([g[:2] for g in X.GLOBS], "pat string, host string")
+    return rows.select("pat", "host", R.glob_match(F.col("pat"), F.col("host")).alias("hit"))
 
 
 @query("ai_domain_semi_join", f"SELECT host, count(*) AS n FROM ({_HOSTS_SQL}) WHERE {_AI_SQL} GROUP BY 1")
