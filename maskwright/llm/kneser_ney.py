@@ -247,7 +247,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     model = build(texts.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi"))
     scored = materialize(score(docs, model, shard_rows), "kn-scores")
     known = scored.join(trusted, "doc_id", "left_semi")
-    bound = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, accuracy).alias("own"))  # a row a language
+    bound = materialize(known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, accuracy).alias("own")), "kn-bounds")
+    if bound.count() <= 10_000:  # a row a language: with so few, one language holding most rows meets in no task
+        bound = F.broadcast(bound)
     general = known.agg(F.percentile_approx("perplexity", quantile, accuracy).alias("general"))
     out = scored.join(bound, "lang", "left").crossJoin(F.broadcast(general)).withColumn("threshold", F.coalesce("own", "general") * slack)  # one row
     return out.select("doc_id", "lang", "n_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
