@@ -114,6 +114,7 @@ def _listed(spans: Column) -> Column:
 def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     """(doc_id, blob, spans: array of (start, rank, end)) of every path; an empty array where nothing was found."""
     hits = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    hits = materialize(hits, "ledger-hits")  # then both sides of the join are plain exchanges, of which AQE splits a hot blob
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans"))
 
 
