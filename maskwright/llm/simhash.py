@@ -18,10 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.llm.common import materialize, slices
 from maskwright.llm.graph import connected_components
@@ -150,7 +152,7 @@ def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of `docs` with one document left of each near-duplicate group: the smallest doc_id.
 
     Rows that repeat a doc_id count as copies: one of them stays (first by text). Rows with a null doc_id stay only if no
-    named document has their fingerprint.
+    named document has their fingerprint, one for each fingerprint.
     """
     keep = materialize(near_duplicate_groups(docs, radius).where("doc_id = component_id or component_id is null"), "simhash-keep")
     ids = keep.where("doc_id is not null").select("doc_id").distinct()
@@ -159,5 +161,12 @@ def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
         w = Window.partitionBy("doc_id").orderBy("text")
         named = named.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
     if keep.where("doc_id is null").limit(1).count():
-        named = named.unionByName(docs.where("doc_id is null"))
+        alone = keep.where("doc_id is null").select(F.col("fingerprint").alias("_print")).distinct()
+
+        @F.pandas_udf(T.StringType())
+        def print_of(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: f"{fingerprint(t):016x}")
+
+        rest = docs.where("doc_id is null").withColumn("_print", print_of(F.col("text").cast("string"))).join(alone, "_print", "left_semi")
+        named = named.unionByName(rest.dropDuplicates(["_print"]).select(docs.columns))
     return named.select(docs.columns)
