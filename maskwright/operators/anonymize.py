@@ -22,6 +22,20 @@ _RUN = "(?iu)\\d++[\\t\\n\\f\\r ]++[0-9]*+[A-Za-z][A-Za-z0-9]*+(?:[\\t\\n\\f\\r
 _LAST_STREET = "(?ius)^(\\d+[\\t\\n\\f\\r ]+[A-Za-z0-9].*[\\t\\n\\f\\r ](?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct))(?=[\\t\\n\\f\\r ]|$)"
 
 
+#: What a text must hold for a pattern to match at all, where that is cheaper to test than the pattern.
+_NEEDS_TEXT = {"email": "@", "ipv6": ":"}
+_NEEDS_DIGIT = frozenset(
+    "credit_card ssn phone_us address_us ipv4 zip_us steuer_id svnr kfz nir siret siren bsn kvk iban vat_eu mrn icd10 insurance_id".split()
+)
+
+
+def _may_match(text: Column, p: Pattern) -> Column:
+    hit = text.rlike(_regex(p))
+    if p.name in _NEEDS_TEXT:
+        return text.contains(_NEEDS_TEXT[p.name]) & hit
+    return text.rlike("[0-9]") & hit if p.name in _NEEDS_DIGIT else hit
+
+
 def _regex(p: Pattern) -> str:
     return _RUN if p.name == "address_us" else p.java
 
@@ -35,7 +49,7 @@ def raw_matches(text: Column, p: Pattern) -> Column:
     """All matches of a pattern, before its check; an empty array without one, or for null."""
     found = F.transform(F.regexp_extract_all(text, F.lit(_regex(p)), F.lit(0)), lambda m: _value(p, m))
     found = F.filter(found, lambda m: m != "") if p.name == "address_us" else found
-    return F.when(text.rlike(_regex(p)), found).otherwise(F.array().cast("array<string>"))
+    return F.when(_may_match(text, p), found).otherwise(F.array().cast("array<string>"))
 
 
 def matches(text: Column, p: Pattern) -> Column:
@@ -59,7 +73,7 @@ def apply_stage(df: DataFrame, stage: Stage, column: str, found: str, replacemen
         return F.struct(m.alias("m"), v.alias("v"), F.when(valid, make(stage, v)).alias("token"))
 
     none = F.array().cast("array<struct<m:string,v:string,token:string>>")
-    df = df.withColumn("_hit", F.when(text.rlike(regex), F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), entry)).otherwise(none))
+    df = df.withColumn("_hit", F.when(_may_match(text, p), F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), entry)).otherwise(none))
 
     def piece(x: Column, h: Column) -> Column:
         kept = F.concat(h.token, F.substr(h.m, F.length(h.v) + 1)) if p.name == "address_us" else h.token
