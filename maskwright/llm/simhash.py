@@ -125,7 +125,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4, seed
             .select("tile", F.col("rows.fp").alias("fp"), F.col("rows.node").alias("node"))
         )
         tiles = materialize(tiles, "simhash-tiles")
-        pair = spark.createDataFrame(pairs, "i int, j int").repartition(min(len(pairs), 4 * spark.sparkContext.defaultParallelism))
+        pair = spark.createDataFrame(pairs, "i int, j int")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -140,7 +140,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4, seed
 
         a = tiles.select(F.col("tile").alias("i"), F.col("fp").alias("fa"), F.col("node").alias("na"))
         b = tiles.select(F.col("tile").alias("j"), F.col("fp").alias("fb"), F.col("node").alias("nb"))
-        links = pair.join(a, "i").join(b, "j").mapInArrow(compare, "u long, v long")
+        # comparing costs far more than reading, so partitions are made by number of pairs, not by size
+        parts = min(len(pairs), 16 * spark.sparkContext.defaultParallelism)
+        links = pair.join(a, "i").join(b, "j").repartition(parts, "i", "j").mapInArrow(compare, "u long, v long")
 
     roots = connected_components(links)
     groups = nodes.join(roots, nodes.node == roots.node, "left").select("fp", F.coalesce("root", nodes.node).alias("component_id"))
