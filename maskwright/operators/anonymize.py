@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.patterns import Pattern, Stage, load_packs
+from maskwright.functions.patterns import CATALOGUE, Pattern, Stage, load_packs
 from maskwright.functions.tokens import token
 from maskwright.functions.validators import CHECKS
 
@@ -31,24 +31,30 @@ _NEEDS_DIGIT = frozenset(
 
 def _may_match(text: Column, p: Pattern) -> Column:
     hit = text.rlike(_regex(p))
+    if p not in CATALOGUE:
+        return hit
     if p.name in _NEEDS_TEXT:
         return text.contains(_NEEDS_TEXT[p.name]) & hit
     return text.rlike("[0-9]") & hit if p.name in _NEEDS_DIGIT else hit
 
 
+def _two_steps(p: Pattern) -> bool:
+    return p.name == "address_us" and p in CATALOGUE
+
+
 def _regex(p: Pattern) -> str:
-    return _RUN if p.name == "address_us" else p.java
+    return _RUN if _two_steps(p) else p.java
 
 
 def _value(p: Pattern, match: Column) -> Column:
     """The part of a raw match that is the value; empty if none is."""
-    return F.regexp_extract(match, _LAST_STREET, 1) if p.name == "address_us" else match
+    return F.regexp_extract(match, _LAST_STREET, 1) if _two_steps(p) else match
 
 
 def raw_matches(text: Column, p: Pattern) -> Column:
     """All matches of a pattern, before its check; an empty array without one, or for null."""
     found = F.transform(F.regexp_extract_all(text, F.lit(_regex(p)), F.lit(0)), lambda m: _value(p, m))
-    found = F.filter(found, lambda m: m != "") if p.name == "address_us" else found
+    found = F.filter(found, lambda m: m != "") if _two_steps(p) else found
     return F.when(_may_match(text, p), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -68,7 +74,7 @@ def apply_stage(df: DataFrame, stage: Stage, column: str, found: str, replacemen
 
     def entry(m: Column) -> Column:
         v = _value(p, m)
-        valid = (v != "") if p.name == "address_us" else F.lit(True)
+        valid = (v != "") if _two_steps(p) else F.lit(True)
         valid = valid & CHECKS[p.validator](v) if p.validator else valid
         return F.struct(m.alias("m"), v.alias("v"), F.when(valid, make(stage, v)).alias("token"))
 
@@ -76,7 +82,7 @@ def apply_stage(df: DataFrame, stage: Stage, column: str, found: str, replacemen
     df = df.withColumn("_hit", F.when(_may_match(text, p), F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), entry)).otherwise(none))
 
     def piece(x: Column, h: Column) -> Column:
-        kept = F.concat(h.token, F.substr(h.m, F.length(h.v) + 1)) if p.name == "address_us" else h.token
+        kept = F.concat(h.token, F.substr(h.m, F.length(h.v) + 1)) if _two_steps(p) else h.token
         return F.concat(x, F.coalesce(kept, h.m, F.lit("")))
 
     changed = F.array_join(F.zip_with(F.split(text, regex, -1), F.col("_hit"), piece), "")

@@ -8,20 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions.patterns import CATALOGUE, Pattern, all_packs, catalogue_frame, load_packs, pattern, pii_types
+from maskwright.functions.patterns import CATALOGUE, Pattern, all_packs, as_literal, catalogue_frame, load_packs, pattern, pii_types
 from maskwright.functions.tokens import client_hash
 from maskwright.functions.validators import CHECKS, duck
 from maskwright.operators import confidence as C
 from maskwright.operators import metrics as M
 from maskwright.operators import routing as R
-from maskwright.operators.anonymize import anonymize, matches, raw_matches, spans, token_counts, token_map
+from maskwright.operators.anonymize import anonymize, delete_session, matches, raw_matches, spans, token_counts, token_map
 from maskwright.operators.deanonymize import deanonymize, single_pass
 from maskwright.operators.json_body import anonymize_bodies, found_in_bodies
 from maskwright.operators.s3fifo import replay
 from maskwright.plans import fixtures as X
 from maskwright.plans.oracle import INPUT, chain_sql, detect_sql
-from maskwright.sources.tables import table
-from maskwright.streaming.restore import restore_batch, with_tokens
+from maskwright.sources.tables import compressed, decompress, event_lines, table
+from maskwright.streaming.restore import choose_path, restore_batch, with_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +155,19 @@ def deanonymize_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", single_pass(F.col("anonymized"), F.map_from_entries(pairs)).alias("restored"))
 
 
+@query("session_delete", chain_sql(["GLOBAL"]) + "SELECT doc_id, s.token AS token, min(s.original) AS original, max(s.ordinal) AS ordinal FROM spans WHERE doc_id <> -1 GROUP BY 1, 2")
+def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delete_session(token_map(chain(spark, sf_dir, ["GLOBAL"]), "doc_id"), "doc_id", F.lit(-1))
+
+
+@query("literal_pattern", "SELECT doc_id, len(regexp_extract_all(text, 'the[.]|the,')) AS n FROM documents WHERE contains(text, 'the.') OR contains(text, 'the,')")
+def literal_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal patterns match their own text only: the full stop is no wild card."""
+    docs = table(spark, sf_dir, "documents")
+    a, b = (matches(F.col("text"), as_literal(pattern("kvk"), x)) for x in ("the.", "the,"))
+    return docs.select("doc_id", (F.size(a) + F.size(b)).cast("long").alias("n")).where("n > 0")
+
+
 # ---- confidence and verdicts ----------------------------------------------------------------------------------------
 
 _CATALOGUE = [(s.ordinal, s.pattern.pack, s.pattern.name, s.pattern.pii_type, s.pattern.confidence, s.position) for s in load_packs(ALL)[0]]
@@ -350,6 +363,25 @@ def body_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.within_size(F.col("text"), 4096).alias("within"))
 
 
+@query("response_path", "SELECT v AS content_type, CASE WHEN contains(v, 'text/event-stream') THEN 'stream' ELSE 'buffered' END AS path FROM (VALUES ('text/event-stream'), ('application/json'), ('')) AS t(v)")
+def response_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose_path(spark.createDataFrame([("text/event-stream",), ("application/json",), ("",)], "content_type string"))
+
+
+@query("decompress_bodies", "SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'br' END AS encoding FROM documents")
+def decompress_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    kind = F.element_at(F.array(F.lit("gzip"), F.lit("deflate"), F.lit("br")), (F.col("doc_id") % 3 + 1).cast("int"))
+    packed = docs.select("doc_id", kind.alias("encoding"), "raw").withColumn("body", compressed(F.col("raw"), F.col("encoding")))
+    return decompress(packed).select("doc_id", F.decode(F.col("body"), "UTF-8").alias("text"), "encoding")
+
+
+@query("event_lines", "SELECT conv_id, turn, CAST(unnest(range(0, len(l))) AS BIGINT) AS seq, unnest(l) AS line FROM (SELECT conv_id, turn, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM conversations)")
+def event_lines_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    return event_lines(turns, "text", "key").select("key.conv_id", "key.turn", "seq", "line")
+
+
 # ---- JSON bodies ----------------------------------------------------------------------------------------------------
 
 
@@ -408,6 +440,12 @@ def pii_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rollup(_spans(spark, sf_dir).join(langs, "doc_id"), "lang", "pii_type")
 
 
+@query("model_counts", chain_sql(ALL).rstrip() + ",\n" + _VERDICTS + "SELECT count(DISTINCT s.original) AS n_dispatches, count(*) AS n_fallbacks, 1 AS n_errors FROM spans WHERE s.confidence < 0.7 AND s.original NOT IN (SELECT original FROM verdicts)")
+def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _spans(spark, sf_dir)
+    return M.model_counts(C.resolve(found, _verdicts(found)), spark.createDataFrame([(a,) for a in _ANSWERS], "response string"))
+
+
 @query("metrics_snapshot")
 def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("dimension"), F.col("value").alias("ms"))

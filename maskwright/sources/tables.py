@@ -40,6 +40,19 @@ def _inflate(data: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([one(d, e) for d, e in zip(data, encoding)])
 
 
+@F.pandas_udf(T.BinaryType())
+def compressed(data: pd.Series, encoding: pd.Series) -> pd.Series:
+    """gzip or raw deflate of each value, by its encoding; other encodings leave it as it is."""
+
+    def one(raw: bytes | None, kind: str | None) -> bytes | None:
+        if raw is None or kind not in ("gzip", "deflate"):
+            return raw
+        packer = zlib.compressobj(wbits=31 if kind == "gzip" else -15)
+        return packer.compress(raw) + packer.flush()
+
+    return pd.Series([one(d, e) for d, e in zip(data, encoding)])
+
+
 def decompress(df: DataFrame, data: str = "body", encoding: str = "encoding") -> DataFrame:
     """gzip and raw deflate are taken off, and the encoding with them; other encodings stay as they are, and so do bodies
     that are not what their encoding says. Rows that need nothing stay in the JVM."""
