@@ -18,7 +18,8 @@ OUT = "stream_id string, seq long, part long, line string"
 def with_tokens(lines: DataFrame, tokens: DataFrame, session: str = "session_id") -> DataFrame:
     """`lines` (stream_id, seq, host, line, last, session) with provider and the session's token map: a stream-static join.
     A session's map is the tokens of one request."""
-    maps = tokens.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("tokens"))
+    once = tokens.groupBy(session, "token").agg(F.min("original").alias("original"))
+    maps = once.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("tokens"))
     return lines.join(maps, session, "left").withColumn("provider", provider(F.col("host")))
 
 
