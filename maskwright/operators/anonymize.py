@@ -24,6 +24,7 @@ _LAST_STREET = "(?ius)^(\\d+[\\t\\n\\f\\r ]+[A-Za-z0-9].*[\\t\\n\\f\\r ](?:Stree
 
 #: What a text must hold for a pattern to match at all, where that is cheaper to test than the pattern.
 _NEEDS_TEXT = {"email": "@", "ipv6": ":"}
+_NEEDS_RUN = {"api_key": "[a-zA-Z0-9_.\\-\u017f\u212a]{20}"}
 _NEEDS_DIGIT = frozenset(
     "credit_card ssn phone_us address_us ipv4 zip_us steuer_id svnr kfz nir siret siren bsn kvk iban vat_eu mrn icd10 insurance_id".split()
 )
@@ -35,6 +36,8 @@ def _may_match(text: Column, p: Pattern) -> Column:
         return hit
     if p.name in _NEEDS_TEXT:
         return text.contains(_NEEDS_TEXT[p.name]) & hit
+    if p.name in _NEEDS_RUN:
+        return text.rlike(_NEEDS_RUN[p.name]) & hit
     return text.rlike("[0-9]") & hit if p.name in _NEEDS_DIGIT else hit
 
 
