@@ -53,8 +53,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the strings of each slice hold about `limit` bytes (one row at least)."""
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What an operator keeps in a Python worker from task to task; another operator's tasks there drop it."""
+    return _CACHES.setdefault(name, {})
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the strings of each slice hold about `limit` bytes (one row at least).
+
+    keep: the operator's own worker_cache, if it has one.
+    """
+    for name, cache in _CACHES.items():
+        if name != keep:
+            cache.clear()
     for batch in batches:
         n = batch.num_rows
         if not n:

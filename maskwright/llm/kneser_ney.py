@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, release_memory, slices
+from maskwright.llm.common import materialize, release_memory, slices, worker_cache
 
 ORDER = 5
 BITS = 12
@@ -154,9 +154,6 @@ class Lookup:
         return value, found
 
 
-_BUILT: dict[str, dict[int, Lookup]] = {}
-
-
 class Shard:
     """Tables of the positions whose two preceding characters fall to this shard; built where they are first used."""
 
@@ -166,11 +163,12 @@ class Shard:
 
     @property
     def tables(self) -> dict[int, Lookup]:
-        if self.name not in _BUILT:  # a worker builds the tables of a shard once, and keeps those of one shard
+        built = worker_cache("kneser_ney")
+        if self.name not in built:  # a worker builds the tables of a shard once, and keeps those of one shard
             k, key, v = self.rows
-            _BUILT.clear()
-            _BUILT[self.name] = {int(j): Lookup(key[k == j], v[k == j]) for j in np.unique(k)}
-        return _BUILT[self.name]
+            built.clear()
+            built[self.name] = {int(j): Lookup(key[k == j], v[k == j]) for j in np.unique(k)}
+        return built[self.name]
 
     def log_probability(self, g: np.ndarray) -> np.ndarray:
         """Natural logarithm of each 5-gram's last character given the four before it; 0 where another shard has it."""
@@ -223,7 +221,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000) -> Dat
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = sent.value
-            for b in slices(batches, limit=1 << 20):
+            for b in slices(batches, limit=1 << 20, keep="kneser_ney"):
                 g, n = gram_codes(b.column("text").to_pylist())
                 lp = np.add.reduceat(table.log_probability(g), np.cumsum(n) - n)
                 yield pa.record_batch([b.column("doc_id"), b.column("lang"), b.column("h"), pa.array(n), pa.array(lp)], ["doc_id", "lang", "h", "n_scored", "lp"])

@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
         context = TaskContext.get()
         seq = (context.partitionId() if context else 0) << 40
         words, packer, out = coder(tokenizer_path), Packer(window, open_windows), []
-        for b in slices(batches, limit=1 << 20):
+        for b in slices(batches, limit=1 << 20, keep="tokens"):
             flat, lengths = words.encode(b.column("text").to_pylist())
             at = 0
             for doc_id, n in zip(b.column("doc_id").to_pylist(), lengths.tolist()):

@@ -14,6 +14,8 @@ from itertools import repeat
 
 import numpy as np
 
+from maskwright.llm.common import worker_cache
+
 #: Characters that the word cache treats itself: printable ASCII, its white space, and Latin letters and signs but for those
 #: that a tokenizer's normalizer changes in a way of its own (no-break space, soft hyphen, dotted capital I).
 _PLAIN = [chr(c) for c in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC) if c not in (0xAD, 0x130)]
@@ -113,11 +115,9 @@ class WordIds:
         return flat, lengths
 
 
-_CODERS: dict[str, WordIds] = {}
-
-
 def coder(path: str) -> WordIds:
     """This process's coder of a file: a Python worker keeps its word cache from task to task."""
-    if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+    coders = worker_cache("tokens")
+    if path not in coders:
+        coders[path] = WordIds(path)
+    return coders[path]
