@@ -6,6 +6,7 @@ more than half of that). For each class in use, documents are cut into blocks of
 neighbouring blocks form a window, so that any passage as long as an item lies in one window, with a Jaccard similarity of
 0.19 or more at containment 0.8. With 64 hash functions, one agreeing minimum making a candidate, a passage is missed with a
 probability below 2e-6. The minima of a class are made from those of the class below, so more classes cost little.
+Items of at most 8 shingles are in no class: every document shingle is looked up among theirs, so none of them is missed.
 Every candidate is then verified: the item's distinct shingles in the document, as words, over the item's distinct shingles.
 
 Documents are read once per block of items (one block up to `block_shingles` of them), in a map pass: nothing is shuffled,
@@ -35,7 +36,7 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-_FIRST = 16  # shingles of the smallest size class
+_FIRST = 16  # shingles of the smallest size class; items of at most half as many are looked up by every shingle
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,9 +104,15 @@ class ItemIndex:
         self.exact = [shingles_of(t) for _, t in items]
         h, n = ShingleHasher()([t for _, t in items])
         self.hashed = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])] if items else []
+        small = [k for k, x in enumerate(self.hashed) if len(x) <= _FIRST // 2]
+        values = np.concatenate([self.hashed[k] for k in small]) if small else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.small = values[order], np.repeat(small, [len(self.hashed[k]) for k in small]).astype(np.int64)[order], np.zeros(1 << 20, bool)
+        self.small[2][(values & np.uint64(0xFFFFF)).astype(np.int64)] = True
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for p in sorted({self.size_class(len(x)) for x in self.hashed}):
-            own = np.array([k for k, x in enumerate(self.hashed) if self.size_class(len(x)) == p])
+        large = [k for k, x in enumerate(self.hashed) if len(x) > _FIRST // 2]
+        for p in sorted({self.size_class(len(self.hashed[k])) for k in large}):
+            own = np.array([k for k in large if self.size_class(len(self.hashed[k])) == p])
             self.classes[p] = []
             for a, b in zip(self.mul, self.add):
                 low = np.array([(self.hashed[k] * a + b).min() for k in own], np.uint64)
@@ -118,6 +125,24 @@ class ItemIndex:
     def size_class(n: int) -> int:
         return max(0, (n - 1).bit_length() - (_FIRST - 1).bit_length())
 
+    def small_candidates(self, h: np.ndarray, n: np.ndarray, threshold: float) -> set[tuple[int, int]]:
+        """(text, item) of every item of at most 8 shingles that has `threshold` of them in the text, by their hashes."""
+        values, own, flags = self.small
+        at = np.nonzero(flags[(h & np.uint64(0xFFFFF)).astype(np.int64)])[0] if len(values) else values
+        found: set[tuple[int, int]] = set()
+        if not len(at):
+            return found
+        lo, hi = np.searchsorted(values, h[at], "left"), np.searchsorted(values, h[at], "right")
+        owner = np.searchsorted(np.cumsum(n), at, "right")
+        pairs = np.unique(np.column_stack((owner, lo, hi))[hi > lo], axis=0)  # a shingle once a text
+        sizes = np.array([len(x) for x in self.hashed])
+        ends = np.searchsorted(pairs[:, 0], np.arange(len(n) + 1))
+        for d in np.unique(pairs[:, 0]).tolist():
+            shared = np.concatenate([own[a:b] for a, b in pairs[ends[d] : ends[d + 1], 1:].tolist()])
+            items, counts = np.unique(shared, return_counts=True)
+            found.update((d, k) for k in items[counts >= threshold * sizes[items] - 1e-9].tolist())
+        return found
+
     def candidates(self, h: np.ndarray, n: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) of every window that shares a minimum with an item of its class."""
         found: set[tuple[int, int]] = set()
@@ -160,7 +185,7 @@ class ItemIndex:
         ends = np.cumsum(n)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         exact: dict[int, set[str]] = {}
-        for d, k in sorted(self.candidates(h, n)):
+        for d, k in sorted(self.candidates(h, n) | self.small_candidates(h, n, threshold)):
             size = len(self.exact[k])
             own = h[ends[d] - n[d] : ends[d]]
             if np.isin(self.hashed[k], own).sum() < threshold * size - 1e-9:
