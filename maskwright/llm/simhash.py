@@ -15,7 +15,7 @@ documents with that very fingerprint, else null; repeated doc_ids each get a row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -150,13 +150,13 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4, seed
     return prints.join(groups, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of `docs` with one document left of each near-duplicate group: the smallest doc_id.
+def keep_one(docs: DataFrame, groups: DataFrame, prints_of: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """The rows of `docs` with one document left of each group of `groups` (doc_id, fingerprint, component_id): the smallest doc_id.
 
     Rows that repeat a doc_id count as copies: one of them stays (first by text). Rows with a null doc_id stay only if no
-    named document has their fingerprint, one for each fingerprint.
+    named document has their fingerprint, one for each fingerprint. prints_of: the fingerprints of texts.
     """
-    keep = materialize(near_duplicate_groups(docs, radius).where("doc_id = component_id or component_id is null"), "simhash-keep")
+    keep = materialize(groups.where("doc_id = component_id or component_id is null"), "simhash-keep")
     ids = keep.where("doc_id is not null").select("doc_id").distinct()
     named = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     if keep.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -167,8 +167,13 @@ def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
 
         @F.pandas_udf(T.StringType())
         def print_of(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: f"{fingerprint(t):016x}")
+            return prints_of(texts)
 
         rest = docs.where("doc_id is null").withColumn("_print", print_of(F.col("text").cast("string"))).join(alone, "_print", "left_semi")
         named = named.unionByName(rest.dropDuplicates(["_print"]).select(docs.columns))
     return named.select(docs.columns)
+
+
+def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """The rows of `docs` with one document left of each SimHash group, by the rules of `keep_one`."""
+    return keep_one(docs, near_duplicate_groups(docs, radius), lambda texts: texts.map(lambda t: f"{fingerprint(t):016x}"))

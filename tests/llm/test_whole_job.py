@@ -16,3 +16,37 @@ def test_short_items_in_long_documents():
     exact = [(i, shingles_of(t)) for i, t in items]
     want = {(d, i, len(s & own), len(s)) for d, t in enumerate(texts) for own in [shingles_of(t)] for i, s in exact if len(s & own) >= 0.8 * len(s) - 1e-9}
     assert len(want) >= 803 and set(ItemIndex(items).search(ShingleHasher(), texts, 0.8)) == want
+
+
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline
+    from maskwright.llm.decontam import shingles_of
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = words(rng, 200).split()
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 5, 6, 9, 30):
+            copy = list(base)
+            for at in rng.sample(range(200), edits):
+                copy[at] = "edited"
+            texts.append(copy)
+    chain = words(rng, 200).split()
+    for k in range(40):  # each links to the next ones only
+        texts.append(chain)
+        chain = chain[5:] + words(rng, 5).split()
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(990, None), (991, ""), (992, "same few"), (993, "Same few."), (None, "same few"), (None, "alone here"), (None, "alone here"), (994, texts[0][0]), (994, "one id again")]
+    sets = [(i, shingles_of(t)) for i, t in rows if i is not None]
+    group = {i: i for i, _ in sets}
+    for _ in range(60):
+        for i, a in sets:
+            for j, b in sets:
+                if len(a & b) >= 0.8 * len(a | b) - 1e-9 and group[i] != group[j]:
+                    group[i] = group[j] = min(group[i], group[j])
+    want = sorted(i for i in group if group[i] == i)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, extra string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(i for i, _ in kept if i is not None) == want and [t for i, t in kept if i is None] == ["alone here"]
