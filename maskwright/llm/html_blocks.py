@@ -7,9 +7,13 @@ import re
 from dataclasses import dataclass, field
 
 #: Element names by how they nest, after the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title iframe svg math object audio video canvas noframes".split())
+#: Raw text, up to the end tag or the page's end.
+RAW = frozenset("script style title iframe noframes".split())
+#: Ordinary elements whose content is not shown; their text is left out while they are open. Those of FENCED are not left by a tag in CLOSES.
+HIDDEN = frozenset("noscript template svg object audio video canvas annotation annotation-xml".split())
+FENCED = frozenset("template svg object".split())
 #: A start tag of the key ends an open element of the values, as far up as the nearest element of the last set.
 CLOSES = {
     "p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"),
@@ -47,30 +51,37 @@ def leaf_blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
-    links, inside = 0, 0
+    links, inside, hidden = 0, 0, 0
     seen: set[str] = set()
 
+    def first_hidden() -> int:
+        return next((k for k, (t, _) in enumerate(stack) if t in HIDDEN), len(stack)) if hidden else len(stack)
+
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tags = tuple(t for t, _ in stack if t not in INLINE)
-                out.append(Block(text, tags, frozenset().union(*(n for _, n in stack)), min(links, len(text)), frozenset(seen)))
+                shown = stack[: first_hidden()]
+                tags = tuple(t for t, _ in shown if t not in INLINE)
+                out.append(Block(text, tags, frozenset().union(*(n for _, n in shown)), min(links, len(text)), frozenset(seen)))
         parts.clear()
         seen.clear()
         links = 0
 
     def close_to(at: int) -> None:
-        nonlocal inside
+        nonlocal inside, hidden
+        if hidden and at < first_hidden():  # leaves the block around it
+            flush()
         inside -= sum(t == "a" for t, _ in stack[at:])
+        hidden -= sum(t in HIDDEN for t, _ in stack[at:])
         del stack[at:]
 
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece:
+        if piece and not hidden:
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             if inside:
@@ -83,8 +94,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if m[1] or m[4]:  # an end tag
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag or tag in INLINE and stack[k][0] not in INLINE), None)
-            if tag not in INLINE and tag not in VOID:
-                flush()
+            if tag not in INLINE and tag not in VOID and tag not in HIDDEN:
+                if not hidden:
+                    flush()
             elif tag == "br":
                 parts.append(" ")
             if k is not None and stack[k][0] == tag:
@@ -94,25 +106,34 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if not (m[3] or m[6] or "").rstrip().endswith("/"):
                 end = _END[tag].search(page, at)
                 at = end.end() if end else len(page)
-            if tag not in ("script", "style", "noscript", "template", "title"):
+            if tag not in ("script", "style", "title"):
+                parts.append(" ")
+            continue
+        if tag in HIDDEN or tag == "math":
+            if tag not in ("noscript", "template"):
                 parts.append(" ")
+            if not (m[3] or m[6] or "").rstrip().endswith("/"):
+                hidden += tag in HIDDEN
+                stack.append((tag, name_parts(m[3] or m[6] or "")))
             continue
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not hidden:
                 flush()
             elif tag != "wbr":
                 parts.append(" ")
             continue
         if tag not in INLINE:
-            flush()
+            if not hidden:
+                flush()
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
                 if name in CLOSES.get(tag, ()):
                     close_to(k)
-                elif name in SCOPE:
+                elif name in SCOPE or name in FENCED:
                     break
         else:
-            seen.add(tag)
+            if not hidden:
+                seen.add(tag)
             inside += tag == "a"
         stack.append((tag, name_parts(m[3] or m[6] or "")))
     flush()

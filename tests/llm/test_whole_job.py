@@ -50,3 +50,18 @@ def test_stage_drops_near_copies(spark):
     assert got.columns == docs.columns
     kept = [(r.doc_id, r.text) for r in got.collect()]
     assert sorted(i for i, _ in kept if i is not None) == want and [t for i, t in kept if i is None] == ["alone here"]
+
+
+def test_unclosed_elements_keep_the_rest():
+    from maskwright.llm.html_blocks import leaf_blocks
+
+    def shown(page):
+        return [b.text for b in leaf_blocks(page)]
+
+    for tag in ("svg", "object", "audio", "video", "canvas", "noscript", "template"):
+        assert shown(f"<div><{tag} id=x>fallback</div><article><p>one</p><p>two</article>") == ["one", "two"]
+        assert shown(f"<p>one <{tag}>left <p>out</p></{tag}> two</p><p>three</p>")[-1] == "three"
+        assert shown(f"<article><p>a</p><div>b <{tag}>c</div><p>d</p></article>") == ["a", "b", "d"]
+    assert shown("<p>one <svg><text>x</text></svg> two</p>") == ["one two"]
+    assert shown("<p>when <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>end") == ["when x=2 holds", "end"]
+    assert shown("<p>a<script>x <p>b") == ["a"]
