@@ -5,7 +5,7 @@ the suffix before each goes to the queue of its first byte. Queues are keyed by
 suffix order, so one queue a byte is a priority queue whose smallest tuples leave in bulk. A tuple is (position, length of the
 common prefix with the tuple before it); the common prefix of two neighbours in a queue is one more than the smallest value
 scanned since the first of them, and these minima are carried from batch to batch. Queues spill to disk beyond
-`memory_rows` tuples, and the text is mapped from a file beyond `memory_bytes`, so a shard may be far larger than memory.
+`memory_rows` tuples, and the text is mapped from a file beyond `memory_bytes`, but several numbers a text byte stay in memory, so a shard must fit.
 
 LMS suffixes are sorted by a first induction over LMS substrings, which names them; where names repeat, the order of the
 string of names is needed in turn. As common prefixes count only up to `cap`, that order is found to the depth of `cap` bytes:
