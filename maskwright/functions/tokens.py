@@ -15,6 +15,20 @@ def token(pii_type: str | Column, original: Column) -> Column:
     return F.concat(F.lit("[PII_"), kind, F.lit("_"), F.substring(F.md5(original.cast("binary")), 1, 16), F.lit("]"))
 
 
+def sql_literal(text: str) -> str:
+    """The text as a Spark SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def token_sql(pii_type: str, original: str) -> str:
+    """The token of a value, as Spark SQL text."""
+    return f"concat({sql_literal(f'[PII_{pii_type.upper()}_')}, substring(md5(CAST({original} AS BINARY)), 1, 16), ']')"
+
+
 def client_hash(address: Column) -> Column:
     """A linkable name of a client: the first eight hex digits of the SHA-256 of its address."""
     return F.substring(F.sha2(address.cast("binary"), 256), 1, 8)

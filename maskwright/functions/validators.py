@@ -1,113 +1,100 @@
-"""Checks of matched values, as native Column expressions."""
+"""Checks of matched values, as Spark SQL text: a check is a function from a value's expression to a boolean expression.
+
+Text, not Column objects: a chain of all packs holds some thousand expression nodes, which the parser reads at once and which
+would each cost a call to the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-Check = Callable[[Column], Column]
-
-
-def _digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
-
+Check = Callable[[str], str]
 
-def _bare(m: Column) -> Column:
-    return F.regexp_replace(m, "[ -]", "")
 
+def _digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '')"
 
-def _digit(s: Column, at: int) -> Column:
-    return F.substring(s, at, 1).try_cast("int")
 
+def _bare(v: str) -> str:
+    return f"replace(replace({v}, ' ', ''), '-', '')"
 
-def _luhn_ok(digits: Column) -> Column:
-    return F.call_function("luhn_check", digits)
 
+def card_luhn(v: str) -> str:
+    d = _digits(v)
+    return f"(length({d}) BETWEEN 13 AND 19 AND luhn_check({d}))"
 
-def card_luhn(m: Column) -> Column:
-    d = _digits(m)
-    return F.length(d).between(13, 19) & _luhn_ok(d)
 
+def email_local_part(v: str) -> str:
+    local = f"split_part({v}, '@', 1)"
+    return f"(contains({v}, '@') AND {local} <> '' AND NOT startswith({local}, '.') AND NOT endswith({local}, '.') AND NOT contains({local}, '..'))"
 
-def email_local_part(m: Column) -> Column:
-    local = F.split_part(m, F.lit("@"), F.lit(1))
-    return m.contains("@") & (local != "") & ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..")
 
+def ssn(v: str) -> str:
+    d = _digits(v)
+    area = f"substring({d}, 1, 3)"
+    return f"(length({d}) = 9 AND {area} NOT IN ('000', '666') AND {area} < '900' AND substring({d}, 4, 2) <> '00' AND substring({d}, 6, 4) <> '0000')"
 
-def ssn(m: Column) -> Column:
-    d = _digits(m)
-    area = F.substring(d, 1, 3)
-    return (F.length(d) == 9) & ~area.isin("000", "666") & (area < "900") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
 
+def us_phone(v: str) -> str:
+    return f"({v} RLIKE '[-() ]' OR startswith({v}, '+'))"
 
-def us_phone(m: Column) -> Column:
-    return m.rlike("[-() ]") | m.startswith("+")
 
-
-def steuer_id(m: Column) -> Column:
+def steuer_id(v: str) -> str:
     """ISO 7064 MOD 11,10 over the first ten of eleven digits; the first is not zero."""
-    d = _digits(m)
-
-    def step(product: Column, at: Column) -> Column:
-        total = (F.substr(d, at, F.lit(1)).try_cast("int") + product) % 10
-        return (F.when(total == 0, 10).otherwise(total) * 2) % 11
-
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(10), step)
-    check = F.when(last == 1, 0).otherwise(11 - last)
-    return F.coalesce((F.length(d) == 11) & (F.substring(d, 1, 1) != "0") & (check == _digit(d, 11)), F.lit(False))
+    d = _digits(v)
+    product = (
+        f"aggregate(sequence(1, 10), 10, (p, i) -> CAST(if((try_cast(substring({d}, i, 1) AS INT) + p) % 10 = 0, 10,"
+        f" (try_cast(substring({d}, i, 1) AS INT) + p) % 10) * 2 % 11 AS INT))"
+    )
+    return f"coalesce(length({d}) = 11 AND substring({d}, 1, 1) <> '0' AND (11 - {product}) % 10 = try_cast(substring({d}, 11, 1) AS INT), false)"
 
 
-def nir(m: Column) -> Column:
+def nir(v: str) -> str:
     """97 minus the thirteen leading digits modulo 97 is the key; Corsican departments count as 19 and 18."""
-    s = _bare(m)
-    department = F.upper(F.substring(s, 6, 2))
-    number = F.concat(F.substring(s, 1, 5), F.when(department == "2A", "19").when(department == "2B", "18").otherwise(department), F.substr(s, F.lit(8)))
-    ok = number.rlike("^[0-9]{15}$")
-    base = F.when(ok, F.substring(number, 1, 13).try_cast("long"))
-    return F.coalesce(ok & (97 - base % 97 == F.substring(number, 14, 2).try_cast("long")), F.lit(False))
+    s = _bare(v)
+    department = f"upper(substring({s}, 6, 2))"
+    number = f"concat(substring({s}, 1, 5), CASE {department} WHEN '2A' THEN '19' WHEN '2B' THEN '18' ELSE {department} END, substring({s}, 8))"
+    return f"coalesce({number} RLIKE '^[0-9]{{15}}$' AND 97 - try_cast(substring({number}, 1, 13) AS BIGINT) % 97 = try_cast(substring({number}, 14, 2) AS BIGINT), false)"
 
 
-def luhn(m: Column) -> Column:
-    d = _digits(m)
-    return (F.length(d) >= 2) & _luhn_ok(d)
+def luhn(v: str) -> str:
+    d = _digits(v)
+    return f"(length({d}) >= 2 AND luhn_check({d}))"
 
 
-def siret(m: Column) -> Column:
-    s = _bare(m)
-    return s.rlike("^[0-9]{14}$") & _luhn_ok(s)
+def siret(v: str) -> str:
+    s = _bare(v)
+    return f"({s} RLIKE '^[0-9]{{14}}$' AND luhn_check({s}))"
 
 
-def siren(m: Column) -> Column:
-    s = _bare(m)
-    return s.rlike("^[0-9]{9}$") & _luhn_ok(s)
+def siren(v: str) -> str:
+    s = _bare(v)
+    return f"({s} RLIKE '^[0-9]{{9}}$' AND luhn_check({s}))"
 
 
-def bsn(m: Column) -> Column:
-    d = _digits(m)
-    total = sum(((10 - i) * _digit(d, i) for i in range(2, 9)), 9 * _digit(d, 1)) - _digit(d, 9)
-    return F.coalesce((F.length(d) == 9) & (total % 11 == 0) & (total != 0), F.lit(False))
+def bsn(v: str) -> str:
+    """The weights 9 to 2 and then -1 give a sum that 11 divides and that is not zero."""
+    d = _digits(v)
+    total = f"aggregate(sequence(1, 9), 0, (t, i) -> t + if(i = 9, -1, 10 - i) * try_cast(substring({d}, i, 1) AS INT))"
+    return f"coalesce(length({d}) = 9 AND {total} % 11 = 0 AND {total} <> 0, false)"
 
 
-def iban(m: Column) -> Column:
+def iban(v: str) -> str:
     """Remainder 1 modulo 97 of the number that the moved and spelled-out account makes, digit by digit."""
-    s = F.upper(_bare(m))
-    moved = F.concat(F.substr(s, F.lit(5)), F.substring(s, 1, 4))
-
-    def step(rest: Column, c: Column) -> Column:
-        code = F.ascii(c)
-        return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
-
-    rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step)
-    return F.coalesce(s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (rest == 1), F.lit(False))
+    s = f"upper({_bare(v)})"
+    moved = f"concat(substring({s}, 5), substring({s}, 1, 4))"
+    rest = (
+        f"aggregate(filter(split({moved}, ''), c -> c <> ''), 0,"
+        " (r, c) -> if(ascii(c) >= 65, (r * 100 + ascii(c) - 55) % 97, (r * 10 + ascii(c) - 48) % 97))"
+    )
+    return f"coalesce({s} RLIKE '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' AND {rest} = 1, false)"
 
 
 CHECKS: dict[str, Check] = {f.__name__: f for f in (card_luhn, email_local_part, ssn, us_phone, steuer_id, nir, luhn, siret, siren, bsn, iban)}
 
 
 def register_check(name: str, check: Check) -> None:
-    """Make a Column -> Column function known as a pattern's validator."""
+    """Make a check known as a pattern's validator; its text may call any function that the session knows."""
     CHECKS[name] = check
 
 

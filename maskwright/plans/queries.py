@@ -20,7 +20,7 @@ from maskwright.operators.json_body import anonymize_bodies, found_in_bodies
 from maskwright.operators.s3fifo import replay
 from maskwright.plans import fixtures as X
 from maskwright.plans.oracle import INPUT, chain_sql, detect_sql
-from maskwright.sources.tables import compressed, decompress, event_lines, table
+from maskwright.sources.tables import compressed, decompress, event_lines, materialize, spread, table
 from maskwright.streaming.restore import choose_path, restore_batch, with_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and the fixture texts; spread out where the input is one small file, as patterns are CPU work."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.unionByName(X.texts_frame(spark))
+    return spread(docs).unionByName(X.texts_frame(spark).coalesce(1))
 
 
 def chain(spark: SparkSession, sf_dir: str, packs: list[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def chain(spark: SparkSession, sf_dir: str, packs: list[str]) -> DataFrame:
 
 def _detect(p: Pattern) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = texts(spark, sf_dir).select("doc_id", raw_matches(F.col("text"), p).alias("r"), matches(F.col("text"), p).alias("f")).where(F.size("r") > 0)
+        found = texts(spark, sf_dir).select("doc_id", raw_matches("text", p).alias("r"), matches("text", p).alias("f")).where(F.size("r") > 0)
         return found.select("doc_id", F.size("r").cast("long").alias("n_matches"), F.size("f").cast("long").alias("n_hits"), F.get("f", F.lit(0)).alias("first_hit"))
 
     return run
@@ -94,7 +94,7 @@ def _validate(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         values = table(spark, sf_dir, "orders").select(F.expr(made.replace("VARCHAR", "STRING")).alias("value"))
         values = values.unionByName(spark.createDataFrame([(v,) for v in _CASES[name]], "value string"))
-        return values.select("value", CHECKS[name](F.col("value")).alias("ok"))
+        return values.select("value", F.expr(CHECKS[name]("value")).alias("ok"))
 
 
 for _name in CHECKS:
@@ -142,7 +142,7 @@ def token_counts_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("deanonymize_roundtrip", chain_sql(ALL) + "SELECT count(*) AS n, count(*) FILTER (WHERE t <> text) AS n_changed, count(*) AS n_restored FROM chain")
 def deanonymize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chain(spark, sf_dir, ALL)
+    done = materialize(chain(spark, sf_dir, ALL), "chain")  # read twice: the texts and the map
     back = deanonymize(done.select("doc_id", "text", "anonymized"), "anonymized", token_map(done, "doc_id"), "doc_id")
     changed, same = F.col("anonymized") != F.col("text"), F.col("restored").eqNullSafe(F.col("text"))
     return back.agg(F.count("*").alias("n"), F.count_if(changed).alias("n_changed"), F.count_if(same).alias("n_restored"))
@@ -164,7 +164,7 @@ def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def literal_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal patterns match their own text only: the full stop is no wild card."""
     docs = table(spark, sf_dir, "documents")
-    a, b = (matches(F.col("text"), as_literal(pattern("kvk"), x)) for x in ("the.", "the,"))
+    a, b = (matches("text", as_literal(pattern("kvk"), x)) for x in ("the.", "the,"))
     return docs.select("doc_id", (F.size(a) + F.size(b)).cast("long").alias("n")).where("n > 0")
 
 
@@ -208,7 +208,7 @@ def confidence_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM spans LEFT JOIN verdicts v ON s.original = v.original",
 )
 def verdict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _spans(spark, sf_dir)
+    found = materialize(_spans(spark, sf_dir), "spans")
     return C.resolve(found, _verdicts(found)).select("doc_id", F.col("place").cast("long").alias("place"), "token", "cache")
 
 
@@ -217,7 +217,7 @@ def verdict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain_sql(ALL).rstrip() + ",\n" + _VERDICTS + "SELECT s.original AS original, count(*) AS n FROM spans WHERE s.confidence < 0.7 AND s.original NOT IN (SELECT original FROM verdicts) GROUP BY 1",
 )
 def verification_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _spans(spark, sf_dir)
+    found = materialize(_spans(spark, sf_dir), "spans")
     return C.work_list(found, _verdicts(found))
 
 
@@ -417,7 +417,7 @@ def json_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metrics_by_type", chain_sql(ALL).rstrip() + ",\n" + _VERDICTS + "SELECT s.pii_type AS pii_type, count(*) FILTER (WHERE v.token IS NOT NULL) AS n_hits, count(*) FILTER (WHERE v.token IS NULL) AS n_misses FROM spans LEFT JOIN verdicts v ON s.original = v.original WHERE s.confidence < 0.7 GROUP BY 1")
 def metrics_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _spans(spark, sf_dir)
+    found = materialize(_spans(spark, sf_dir), "spans")
     return M.verdict_counts(C.resolve(found, _verdicts(found)))
 
 
@@ -442,14 +442,14 @@ def pii_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_counts", chain_sql(ALL).rstrip() + ",\n" + _VERDICTS + "SELECT count(DISTINCT s.original) AS n_dispatches, count(*) AS n_fallbacks, 1 AS n_errors FROM spans WHERE s.confidence < 0.7 AND s.original NOT IN (SELECT original FROM verdicts)")
 def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _spans(spark, sf_dir)
+    found = materialize(_spans(spark, sf_dir), "spans")
     return M.model_counts(C.resolve(found, _verdicts(found)), spark.createDataFrame([(a,) for a in _ANSWERS], "response string"))
 
 
 @query("metrics_snapshot")
 def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("dimension"), F.col("value").alias("ms"))
-    return M.snapshot(_spans(spark, sf_dir), samples, "doc_id")
+    return M.snapshot(materialize(_spans(spark, sf_dir), "spans"), samples, "doc_id")
 
 
 @query("pii_types", X.values_sql(pii_types(), "pii_type") + " UNION " + X.values_sql(("NAME", "MEDICAL", "SALARY", "COMPANY", "JOBTITLE"), "pii_type"))
@@ -523,7 +523,7 @@ def s3fifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of replaced values by language and type over the documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = anonymize(docs, "text", ALL)
+    found = anonymize(spread(docs), "text", ALL)
     return found.select("lang", F.explode("found").alias("f")).groupBy("lang", "f.pii_type").agg(F.count("*").alias("n"), F.count_distinct("f.token").alias("n_tokens"))
 
 

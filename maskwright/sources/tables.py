@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 import zlib
 
 import pandas as pd
@@ -17,6 +21,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, block: int = 128 << 20) -> DataFrame:
+    """`df` over all cores where its files are too small for that: a Parquet file is read by row group, and a small table has
+    one. Inputs of a block for each core or more, by the optimizer's estimate, are left as they are: no shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * block else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local one is made, on a local
+    master only: on a cluster each machine would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="maskwright-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
+
+    Unlike localCheckpoint the files outlive any executor, and unlike an RDD checkpoint they stay columnar, so later
+    stages prune columns. As frames are lazy, the files stay until the driver's JVM ends, or until `discard`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, where = _files(spark, path)
+    df.write.parquet(path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised frame that no later plan reads (frees the shared folder between rounds)."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, where = _files(df.sparkSession, name)
+        fs.delete(where, True)
+
+
 def texts(spark: SparkSession, path: str, fmt: str = "parquet", key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, column) of any columnar or text source; plain text files give a row a line, with no key."""
     df = spark.read.format(fmt).load(path)
