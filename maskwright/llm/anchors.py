@@ -78,3 +78,28 @@ def anchor_segments(data: np.ndarray, offsets: np.ndarray, hashers: tuple[RangeH
     text = owner[first]
     base = offsets[:-1][text]
     return text, first - base, stop - base, key.view(np.int64), seg.view(np.int64)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+WORD = 4  # bytes of a word's code
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray, hasher: RangeHasher) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with each word (run of bytes other than ASCII white space) as a code of `WORD` bytes, none of them 0, and their
+    offsets: what compares bytes then compares words."""
+    solid = ~_BLANK[data]
+    edge = np.zeros(len(data), bool)
+    edge[offsets[:-1][offsets[:-1] < len(data)]] = True  # a text's first byte begins a word, whatever stands before
+    before = np.zeros(len(data), bool)
+    before[1:] = solid[:-1]
+    first = np.flatnonzero(solid & (~before | edge))
+    after = np.ones(len(data), bool)
+    after[:-1] = ~solid[1:] | edge[1:]
+    end = np.flatnonzero(solid & after) + 1
+    h = hasher.load(data)(first, end)
+    code = np.empty((len(first), WORD), np.uint8)
+    for k in range(WORD):
+        code[:, k] = h % np.uint64(255) + np.uint64(1)
+        h = h // np.uint64(255)
+    return code.reshape(-1), np.searchsorted(first, offsets) * WORD

@@ -1,52 +1,19 @@
-"""Shared helpers: table access, materialisation in the shared folder, batch slicing."""
+"""Shared helpers: batch slicing, string buffers, worker memory; table access and materialisation are the library's own."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.sources.tables import discard, materialize, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The whole table, read by Spark (any store that Spark can open)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
-
-    Unlike localCheckpoint the files outlive any executor, and unlike an RDD checkpoint they stay columnar, so later
-    stages prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame that no later plan reads (frees the shared folder between rounds)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "materialize", "release_memory", "shared_dir", "slices", "string_bytes", "table", "text_or_empty", "worker_cache"]
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -457,3 +457,32 @@ def test_long_text_anchors():
     lo, hi, _, _ = _long_text(data, (RangeHasher(), RangeHasher(5)), 60, 30, step=700)
     covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
     assert sorted(covered) == list(range(5000 - 60 + 1))
+
+
+def test_passages_of_many_words(spark):
+    """Against a count of every 51-word string; the white space between words does not matter."""
+    import random
+
+    from maskwright.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(1, 4)))
+    shared = [[word() for _ in range(n)] for n in (50, 51, 60, 140)]
+    texts = [None, "", "one two"]
+    for i in range(40):
+        own = [word() for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(own))
+        texts.append(rng.choice([" ", "\n", " \t"]).join(own[:at] + shared[i % 5] + own[at:] if i % 5 < 4 else own))
+    texts += [texts[5], texts[5], "z " * 200]
+    words = [(t or "").split() for t in texts]
+    seen = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), []).append((i, k))
+    covered = [set() for _ in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                covered[i].update(range(k, k + 51))
+    got = {r.doc_id: r.passage_words for r in remove_repeats(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(c) for c in covered] and sum(map(bool, covered)) > 20
