@@ -81,19 +81,18 @@ class RangeMin:
 
     def __init__(self, x: np.ndarray):
         self.levels = [x]
-        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
-            low, step = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(low[:-step], low[step:]))
 
     def __call__(self, a: np.ndarray, b: np.ndarray, empty: int) -> np.ndarray:
         size = b - a + 1
         out = np.full(len(a), empty, self.levels[0].dtype)
         level = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, -1)
-        for k in np.unique(level):
-            if k >= 0:
-                own = level == k
-                run = self.levels[k]
-                out[own] = np.minimum(run[a[own]], run[b[own] - (1 << int(k)) + 1])
+        for k in np.flatnonzero(np.bincount(level + 1)[1:]).tolist():
+            while len(self.levels) <= k:
+                low, step = self.levels[-1], 1 << (len(self.levels) - 1)
+                self.levels.append(np.minimum(low[:-step], low[step:]))
+            own = np.flatnonzero(level == k)
+            run = self.levels[k]
+            out[own] = np.minimum(run[a[own]], run[b[own] - (1 << k) + 1])
         return out
 
 
@@ -128,28 +127,33 @@ class Inducer:
             j, before, key = j[order], before[order], key[order]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             tail = np.append(head[1:], len(key))
+            if not self.track:
+                value = np.zeros(len(j), np.uint16)
+                for k, a, b in zip(key[head].tolist(), head.tolist(), tail.tolist()):
+                    queues.put(k, before[a:b], value[a:b])
+                return
             since = np.append(0, j[:-1] + 1)  # first value scanned after the one before in this queue
             since[head] = 0
             low = RangeMin(lcp)(since, j, cap)
             low[head] = np.minimum(low[head], carry[key[head]])
             value = np.minimum(low + 1, cap).astype(np.uint16)
             value[head] = np.where(full[key[head]], value[head], 0)
-            rest = RangeMin(lcp)(j[tail - 1] + 1, np.full(len(tail), len(lcp) - 1), cap)
+            rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint16(cap))[j[tail - 1] + 1]
             np.minimum(carry, lcp.min(), out=carry)
             carry[key[head]] = rest
             full[key[head]] = True
             for k, a, b in zip(key[head].tolist(), head.tolist(), tail.tolist()):
                 queues.put(k, before[a:b], value[a:b])
-        elif len(lcp):
+        elif len(lcp) and self.track:
             np.minimum(carry, lcp.min(), out=carry)
 
-    def run(self, lms: np.ndarray, lcp: np.ndarray, emit) -> None:
-        """Scan up to sort the L suffixes, scan down to sort the S suffixes.
+    def run(self, lms: np.ndarray, lcp: np.ndarray, emit, track: bool = True) -> None:
+        """Scan up to sort the L suffixes, scan down to sort the S suffixes. track: whether common prefixes are wanted.
 
         lms: all LMS suffixes in order, lcp: common prefix of each with the one before. emit(position, common prefix with the
         next smaller scanned one): called batch by batch for the whole order, from its end.
         """
-        cap = self.cap
+        cap, self.track = self.cap, track
         queues, sorted_l = SpillQueues(self.folder, self.memory_rows), SpillQueues(self.folder + "/l", self.memory_rows)
         os.makedirs(self.folder + "/l", exist_ok=True)
         carry, full = np.full(256, cap, np.uint16), np.zeros(256, bool)
@@ -202,7 +206,7 @@ def lms_order(ind: Inducer, hasher: RangeHasher) -> tuple[np.ndarray, np.ndarray
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     start = lms[np.argsort(ind.t[lms], kind="stable")]
-    ind.run(start, np.zeros(len(start), np.uint16), lambda pos, _: got.append(pos[is_lms[pos]]))
+    ind.run(start, np.zeros(len(start), np.uint16), lambda pos, _: got.append(pos[is_lms[pos]]), track=False)
     order = np.searchsorted(lms, np.concatenate(got)[::-1])
     end = np.append(lms[1:] + 1, n)  # a substring runs up to and with the next LMS position
     mark = hasher(lms, end)

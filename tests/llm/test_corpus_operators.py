@@ -484,5 +484,5 @@ def test_passages_of_many_words(spark):
         if len(places) > 1:
             for i, k in places:
                 covered[i].update(range(k, k + 51))
-    got = {r.doc_id: r.passage_words for r in remove_repeats(frame(spark, texts)).collect()}
+    got = {r.doc_id: r.passage_words for r in remove_repeats(frame(spark, enumerate(texts))).collect()}
     assert [got[i] for i in range(len(texts))] == [len(c) for c in covered] and sum(map(bool, covered)) > 20
