@@ -29,9 +29,10 @@ class Pattern:
         return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", self.regex) if self.literal else self.regex
 
 
-# Patterns, types and base confidences that detection results depend on, in registration order.
+# Patterns, types and base confidences that detection results depend on, in order within each pack.
 _STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct)"
-_HEX4 = r"[0-9a-fA-F]{1,4}"
+#: The packs in the order in which they are registered, which is the order that applies where none is asked for.
+PACK_ORDER = ("DE", "FINANCE_EU", "FR", "GLOBAL", "HEALTHCARE", "NL", "US")
 CATALOGUE: tuple[Pattern, ...] = (
     Pattern("email", "GLOBAL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "EMAIL", 0.95, "email_local_part"),
     Pattern("api_key", "GLOBAL", r"""(?i)(?:api[_\-]?key|token|secret|bearer)[\s"':=]+([a-zA-Z0-9_\-.]{20,})""", "APIKEY", 0.90),
@@ -41,11 +42,16 @@ CATALOGUE: tuple[Pattern, ...] = (
     Pattern("address_us", "US", rf"(?i)\d+\s+[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*)*\s+{_STREET}\b", "ADDRESS", 0.75),
     Pattern(
         "ipv6", "US",
-        "|".join([
-            rf"(?:{_HEX4}:){{7}}{_HEX4}", rf"(?:{_HEX4}:){{1,7}}:", rf"(?:{_HEX4}:){{1,6}}:{_HEX4}",
-            *(rf"(?:{_HEX4}:){{1,{n}}}(?::{_HEX4}){{1,{7 - n}}}" for n in (5, 4, 3, 2)),
-            rf"{_HEX4}:(?::{_HEX4}){{1,6}}", rf":(?::{_HEX4}){{1,7}}", "::",
-        ]),
+        r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,7}:"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,5}(?::[0-9a-fA-F]{1,4}){1,2}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,4}(?::[0-9a-fA-F]{1,4}){1,3}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,3}(?::[0-9a-fA-F]{1,4}){1,4}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,2}(?::[0-9a-fA-F]{1,4}){1,5}"
+        r"|[0-9a-fA-F]{1,4}:(?::[0-9a-fA-F]{1,4}){1,6}"
+        r"|:(?::[0-9a-fA-F]{1,4}){1,7}"
+        r"|::",
         "IPADDRESS", 0.85,
     ),
     Pattern("ipv4", "US", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "IPADDRESS", 0.70),
@@ -164,7 +170,8 @@ def pii_types(patterns: tuple[Pattern, ...] | None = None) -> list[str]:
 
 
 def all_packs() -> list[str]:
-    return list(dict.fromkeys(p.pack for p in registered()))
+    """The packs that apply where none is asked for: in order of registration, then those registered since."""
+    return [*PACK_ORDER, *(p for p in dict.fromkeys(p.pack for p in registered()) if p not in PACK_ORDER)]
 
 
 @dataclass(frozen=True)

@@ -29,6 +29,11 @@ def token_sql(pii_type: str, original: str) -> str:
     return f"concat({sql_literal(f'[PII_{pii_type.upper()}_')}, substring(md5(CAST({original} AS BINARY)), 1, 16), ']')"
 
 
+def session_id() -> Column:
+    """A random name of a session, 16 hex digits; for rows that have no key of their own."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
+
+
 def client_hash(address: Column) -> Column:
     """A linkable name of a client: the first eight hex digits of the SHA-256 of its address."""
     return F.substring(F.sha2(address.cast("binary"), 256), 1, 8)

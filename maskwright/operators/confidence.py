@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.7
@@ -69,14 +69,7 @@ def verify(work: DataFrame, ask: Callable[[str], str], parallel: int = 1) -> Dat
 def instruction_for(models: DataFrame, instructions: DataFrame, fallback: str) -> DataFrame:
     """`models` (model) with instruction: that of the longest key that the model's name begins with, else the key `default`,
     else `fallback`. The instructions are a configuration table of a few rows."""
-    keys = instructions.where("key <> 'default'").select(F.col("key").alias("_key"), F.col("instruction").alias("_own"))
-    default = [r[0] for r in instructions.where("key = 'default'").select("instruction").limit(1).collect()]
-    best = keys.agg(F.collect_list(F.struct(F.length("_key").alias("n"), "_key", "_own")).alias("_all"))
-    found = F.array_max(F.filter("_all", lambda k: F.col("model").startswith(k["_key"])))
-    return models.crossJoin(F.broadcast(best)).withColumn("instruction", F.coalesce(found["_own"], F.lit(default[0] if default else fallback))).drop("_all")
-
-
-def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key, the first by `order`."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rule = F.when(F.col("key") != "default", F.struct(F.length("key").alias("n"), "key", "instruction"))
+    rules = instructions.agg(F.collect_list(rule).alias("_all"), F.max(F.when(F.col("key") == "default", F.col("instruction"))).alias("_default"))
+    found = F.array_max(F.filter("_all", lambda k: F.col("model").startswith(k["key"])))
+    return models.crossJoin(F.broadcast(rules)).withColumn("instruction", F.coalesce(found["instruction"], "_default", F.lit(fallback))).drop("_all", "_default")  # one row

@@ -1,7 +1,8 @@
 """Anonymisation of JSON request bodies: every string value but structural ones, at any depth; and the system instruction.
 
-Python only takes bodies apart and puts them together (Arrow batches); the pattern chain itself stays native. A body's string
-leaves travel as one text, set apart by a control character that no pattern matches, so nothing is exploded or shuffled.
+Python only takes bodies apart and puts them together (Arrow batches); the pattern chain itself stays native. A body becomes one
+row for each string leaf, and the rows of a body stay one after the other in their partition: the plan between has narrow steps
+only, so bodies are put together again as the rows come, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from maskwright.operators.anonymize import anonymize
 
 #: Keys whose values are never changed.
 STRUCTURAL = frozenset(("model", "temperature", "max_tokens", "top_p", "stream", "n"))
-_SEPARATOR = "\x01"
+_LEAF_ROWS = 4096  # rows of an Arrow batch of leaves
 
 
 def walk(v: Any, change: Callable[[str], str], skip: frozenset[str] = STRUCTURAL) -> Any:
@@ -60,53 +61,74 @@ def inject(doc: Any, instruction: str) -> Any:
 
 
 def body_leaves(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, body, leaves): the string leaves of each body as one text; the body itself where it is no JSON."""
+    """(key, body, n, leaf): a row for each string leaf of each body, in order. The first row has the body and the number of its
+    rows; a body without a leaf has one row with a null leaf, a body that is no JSON one row with itself as leaf and n = -1."""
     kind = df.schema[key].dataType.simpleString()
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["key", "body", "n", "leaf"])
+
         for b in batches:
-            texts = []
-            for text in b.column("body").to_pylist():
+            kinds = (b.column("key").type, pa.string(), pa.int32(), pa.string())
+            for k, text in zip(b.column("key").to_pylist(), b.column("body").to_pylist()):
                 try:
-                    texts.append(None if text is None else _SEPARATOR.join(s.replace(_SEPARATOR, " ") for s in leaves(gojson.parse(text))))
+                    found = [None] if text is None else leaves(gojson.parse(text)) or [None]
+                    held.append((k, text, len(found), found[0]))
+                    held += [(k, None, 0, leaf) for leaf in found[1:]]
                 except (ValueError, RecursionError):
-                    texts.append(text)
-            yield pa.record_batch([b.column("key"), b.column("body"), pa.array(texts, pa.string())], ["key", "body", "leaves"])
+                    held.append((k, text, -1, text))
+                if len(held) >= _LEAF_ROWS:
+                    yield batch()
+                    held.clear()
+        if held:
+            yield batch()
 
-    return df.select(F.col(key).alias("key"), F.col(body).cast("string").alias("body")).mapInArrow(take_apart, f"key {kind}, body string, leaves string")
+    return df.select(F.col(key).alias("key"), F.col(body).cast("string").alias("body")).mapInArrow(take_apart, f"key {kind}, body string, n int, leaf string")
 
 
 def anonymize_bodies(df: DataFrame, key: str, body: str, packs: list[str], decay: float = 0.05, instructions: dict[str, str] | None = None) -> DataFrame:
-    """(key, anonymized) of JSON bodies; a body that is no JSON is anonymised as plain text.
+    """(key, anonymized) of JSON bodies; a body that is no JSON is anonymised as plain text, null stays null.
 
     instructions: by model prefix (the longest that fits), with `default`; injected where the body got a token.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = anonymize(body_leaves(df, key, body), "leaves", packs, decay)
+    rows = anonymize(body_leaves(df, key, body), "leaf", packs, decay)
     asked = dict(instructions or {})
 
+    def whole(text: str | None, n: int, parts: list[str | None], replaced: int) -> str | None:
+        if text is None or n < 0:
+            return parts[0]
+        doc, new = gojson.parse(text), iter(parts)
+        out = walk(doc, lambda s: next(new))
+        if replaced and asked:
+            model = doc.get("model") if isinstance(doc, dict) else None
+            fit = max((k for k in asked if k != "default" and isinstance(model, str) and model.startswith(k)), key=len, default="default")
+            out = inject(out, asked.get(fit, ""))
+        return gojson.write(out)
+
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, replaced, first = [], 0, None  # of the body that is being put together
         for b in batches:
-            out = []
-            for body_, text, n in zip(b.column("body").to_pylist(), b.column("anonymized").to_pylist(), b.column("n").to_pylist()):
-                try:
-                    doc = gojson.parse(body_ or "")
-                except (ValueError, RecursionError):
-                    out.append(text)
-                    continue
-                parts = iter(text.split(_SEPARATOR))
-                model = doc.get("model") if isinstance(doc, dict) else None
-                new = walk(doc, lambda s: next(parts))
-                if n and asked:
-                    fit = max((k for k in asked if k != "default" and isinstance(model, str) and model.startswith(k)), key=len, default="default")
-                    new = inject(new, asked.get(fit, ""))
-                out.append(gojson.write(new))
-            yield pa.record_batch([b.column("key"), pa.array(out, pa.string())], ["key", "anonymized"])
-
-    slim = rows.select("key", "body", "anonymized", F.size("found").alias("n"))
+            keys, out = [], []
+            for k, text, n, leaf, hits in zip(*(b.column(c).to_pylist() for c in ("key", "body", "n", "anonymized", "hits"))):
+                if n:
+                    first, parts, replaced = (k, text, n), [], 0
+                parts.append(leaf)
+                replaced += hits
+                if len(parts) == abs(first[2]):
+                    keys.append(first[0])
+                    out.append(whole(first[1], first[2], parts, replaced))
+            yield pa.record_batch([pa.array(keys, b.column("key").type), pa.array(out, pa.string())], ["key", "anonymized"])
+
+    slim = rows.select("key", "body", "n", "anonymized", F.size("found").alias("hits"))
     return slim.mapInArrow(put_together, f"key {kind}, anonymized string").withColumnRenamed("key", key)
 
 
 def found_in_bodies(df: DataFrame, key: str, body: str, packs: list[str], decay: float = 0.05) -> DataFrame:
-    """(key, found) of the same bodies: what was replaced, for the token map."""
-    return anonymize(body_leaves(df, key, body), "leaves", packs, decay).select(F.col("key").alias(key), "found")
+    """(key, found) of the same bodies, a row for each leaf with a replaced value: what was replaced, for the token map."""
+    found = anonymize(body_leaves(df, key, body), "leaf", packs, decay).where(F.size("found") > 0)
+    return found.select(F.col("key").alias(key), "found")

@@ -19,6 +19,12 @@ def request_counts(requests: DataFrame) -> DataFrame:
     return each.unionByName(requests.agg(F.count("*").alias("n")).select(F.lit("total").alias("class"), "n"))
 
 
+def error_counts(requests: DataFrame, upstream: str = "upstream_error", anonymize: str = "anonymize_error") -> DataFrame:
+    """(n_upstream_errors, n_anonymize_errors): requests whose column names an error of either kind; null and empty name none."""
+    failed = lambda c: F.count_if(F.coalesce(F.col(c) != "", F.lit(False)))
+    return requests.agg(failed(upstream).alias("n_upstream_errors"), failed(anonymize).alias("n_anonymize_errors"))
+
+
 def token_volume(spans: DataFrame, session: str) -> DataFrame:
     """(n_replaced, n_deanonymized): every occurrence counts as replaced, each distinct token of a session as reversed."""
     per = spans.groupBy(session).agg(F.count("*").alias("a"), F.count_distinct("token").alias("b"))

@@ -67,16 +67,16 @@ def glob_match(glob: Column, host: Column) -> Column:
     return (F.size(labels) == F.size(parts)) & F.forall(F.zip_with(labels, parts, lambda p, x: F.when(x.isNull() | p.isNull(), False).otherwise(one(p, x))), lambda ok: ok)
 
 
-def _registry(spark: SparkSession, domains: list[str]) -> tuple[DataFrame, list[str]]:
-    exact = spark.createDataFrame([(d,) for d in dict.fromkeys(re.sub(r"(?<=.)\.$", "", d.lower()) for d in domains if "*" not in d)], "_host string")
-    return exact, [glob_regex(d) for d in domains if "*" in d]
+def _registry(domains: list[str]) -> tuple[list[str], list[str]]:
+    """(exact names, expressions of globs)."""
+    exact = dict.fromkeys(re.sub(r"(?<=.)\.$", "", d.lower()) for d in domains if "*" not in d)
+    return list(exact), [glob_regex(d) for d in domains if "*" in d]
 
 
 def is_ai_host(hosts: DataFrame, column: str = "host", domains: list[str] = list(AI_DOMAINS)) -> DataFrame:
     """`hosts` with is_ai: registered exactly, or by a glob. The registry is configuration: a set lookup and one expression."""
     h = normalize_host(F.col(column))
-    exact, globs = _registry(hosts.sparkSession, domains)
-    names = [r[0] for r in exact.collect()]
+    names, globs = _registry(domains)
     return hosts.withColumn("is_ai", F.coalesce(h.isin(names) | (h.rlike("|".join(globs)) if globs else F.lit(False)), F.lit(False)))
 
 

@@ -20,9 +20,9 @@ SELECT doc_id, len(r) AS n_matches, len(f) AS n_hits, f[1] AS first_hit
 FROM (SELECT doc_id, r, list_filter(r, lambda v: {duck(p.validator, 'v')}) AS f FROM m WHERE len(r) > 0)"""
 
 
-def chain_sql(packs: list[str], decay: float = 0.05, source: str = INPUT) -> str:
+def chain_sql(packs: list[str], decay: float = 0.05, source: str = INPUT, patterns: tuple[Pattern, ...] | None = None) -> str:
     """CTEs up to `chain` (doc_id, text, t, f): the anonymised text and what was replaced."""
-    stages, _ = load_packs(packs, decay)
+    stages, _ = load_packs(packs, decay, patterns)
     kind = "STRUCT(ordinal INTEGER, pii_type VARCHAR, original VARCHAR, token VARCHAR, confidence DOUBLE)[]"
     ctes = [f"c0 AS (SELECT doc_id, text, text AS t, CAST([] AS {kind}) AS f FROM ({source}))"]
     for i, s in enumerate(stages):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions.patterns import CATALOGUE, Pattern, all_packs, as_literal, catalogue_frame, load_packs, pattern, pii_types
+from maskwright.functions.patterns import CATALOGUE, SECRETS, Pattern, all_packs, as_literal, catalogue_frame, load_packs, pattern, pii_types
 from maskwright.functions.tokens import client_hash
 from maskwright.functions.validators import CHECKS, duck
 from maskwright.operators import confidence as C
@@ -20,8 +22,8 @@ from maskwright.operators.json_body import anonymize_bodies, found_in_bodies
 from maskwright.operators.s3fifo import replay
 from maskwright.plans import fixtures as X
 from maskwright.plans.oracle import INPUT, chain_sql, detect_sql
-from maskwright.sources.tables import compressed, decompress, event_lines, materialize, spread, table
-from maskwright.streaming.restore import choose_path, restore_batch, with_tokens
+from maskwright.sources.tables import compressed, decompress, event_lines, materialize, shared_dir, spread, table
+from maskwright.streaming.restore import choose_path, restore_batch, restore_streaming, with_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,11 +119,9 @@ _anonymize("anonymize_all_packs", ALL)
 _anonymize("anonymize_reordered_packs", ["FINANCE_EU", "NL", "FR", "DE", "US", "GLOBAL"])
 
 
-@query("anonymize_secrets")
+@query("anonymize_secrets", chain_sql(DEFAULT, patterns=(*CATALOGUE, *SECRETS)) + "SELECT doc_id, t AS anonymized, len(f) AS n_found FROM chain")
 def anonymize_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from maskwright.functions.patterns import SECRETS, registered
-
-    done = anonymize(texts(spark, sf_dir), "text", DEFAULT, patterns=(*registered(), *SECRETS))
+    done = anonymize(texts(spark, sf_dir), "text", DEFAULT, patterns=(*CATALOGUE, *SECRETS))
     return done.select("doc_id", "anonymized", F.size("found").cast("long").alias("n_found"))
 
 
@@ -155,9 +155,11 @@ def deanonymize_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", single_pass(F.col("anonymized"), F.map_from_entries(pairs)).alias("restored"))
 
 
-@query("session_delete", chain_sql(["GLOBAL"]) + "SELECT doc_id, s.token AS token, min(s.original) AS original, max(s.ordinal) AS ordinal FROM spans WHERE doc_id <> -1 GROUP BY 1, 2")
+@query("session_delete", chain_sql(["GLOBAL"]) + "SELECT doc_id, s.token AS token, min(s.original) AS original, max(s.ordinal) AS ordinal FROM spans WHERE doc_id % 2 <> 0 GROUP BY 1, 2")
 def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delete_session(token_map(chain(spark, sf_dir, ["GLOBAL"]), "doc_id"), "doc_id", F.lit(-1))
+    """The maps of all sessions of even number are deleted."""
+    tokens = token_map(chain(spark, sf_dir, ["GLOBAL"]), "doc_id")
+    return delete_session(tokens, "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
 
 
 @query("literal_pattern", "SELECT doc_id, len(regexp_extract_all(text, 'the[.]|the,')) AS n FROM documents WHERE contains(text, 'the.') OR contains(text, 'the,')")
@@ -386,19 +388,40 @@ def event_lines_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(" reach me at user"), F.col("conv_id"), F.lit("@example.com")))
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("text", F.concat("text", F.lit(" reach me at user"), F.col("conv_id"), F.lit("@example.com")))
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     messages = F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
     model = F.when(F.col("conv_id") % 2 == 0, "gpt-4o").otherwise("claude-sonnet")
     return chats.select("conv_id", F.to_json(F.struct(model.alias("model"), F.lit(0.5).alias("temperature"), messages.alias("messages"))).alias("body"))
 
 
-@query("json_body_anonymize")
+_BODY_SOURCE = "SELECT {'conv_id': conv_id, 'turn': turn, 'role': role} AS doc_id, text || ' reach me at user' || conv_id || '@example.com' AS text FROM conversations WHERE text IS NOT NULL"
+
+
+def _go_json(value: str) -> str:
+    """A JSON string as the bodies are written, with three signs escaped."""
+    return f"replace(replace(replace(CAST(to_json({value}) AS VARCHAR), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
+
+
+def _body_sql(injected: bool) -> str:
+    rule = "CASE WHEN doc_id.conv_id % 2 = 0 THEN 'copy tokens' ELSE 'keep tokens' END"
+    said = f"CASE WHEN first_system = doc_id.turn THEN t || chr(10) || chr(10) || {rule} ELSE t END" if injected else "t"
+    first = f"max(CASE WHEN first_system IS NULL THEN '{{\"content\":' || {_go_json(rule)} || ',\"role\":\"system\"}},' ELSE '' END)" if injected else "''"
+    one = f"'{{\"content\":' || {_go_json(said)} || ',\"role\":' || {_go_json('doc_id.role')} || '}}'"
+    return (
+        chain_sql(["GLOBAL"], source=_BODY_SOURCE).rstrip()
+        + ",\nturns AS (SELECT *, min(CASE WHEN doc_id.role = 'system' THEN doc_id.turn END) OVER (PARTITION BY doc_id.conv_id) AS first_system FROM chain)\n"
+        + f"SELECT doc_id.conv_id AS conv_id, '{{\"messages\":[' || {first} || string_agg({one}, ',' ORDER BY doc_id.turn) || '],\"model\":' ||"
+        + " CASE WHEN doc_id.conv_id % 2 = 0 THEN '\"gpt-4o\"' ELSE '\"claude-sonnet\"' END || ',\"temperature\":0.5}' AS anonymized FROM turns GROUP BY 1"
+    )
+
+
+@query("json_body_anonymize", _body_sql(False))
 def json_body_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize_bodies(_bodies(spark, sf_dir), "conv_id", "body", ["GLOBAL"])
 
 
-@query("json_inject")
+@query("json_inject", _body_sql(True))
 def json_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize_bodies(_bodies(spark, sf_dir), "conv_id", "body", ["GLOBAL"], instructions=dict(_RULES))
 
@@ -446,7 +469,16 @@ def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.model_counts(C.resolve(found, _verdicts(found)), spark.createDataFrame([(a,) for a in _ANSWERS], "response string"))
 
 
-@query("metrics_snapshot")
+@query(
+    "metrics_snapshot",
+    chain_sql(ALL).rstrip()
+    + """,
+volume AS (SELECT CAST(sum(a) AS BIGINT) AS n_replaced, CAST(sum(b) AS BIGINT) AS n_deanonymized FROM (SELECT doc_id, count(*) AS a, count(DISTINCT s.token) AS b FROM spans GROUP BY 1)),
+kinds AS (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) AS types FROM (SELECT s.pii_type AS k, count(*) AS n FROM spans GROUP BY 1)),
+times AS (SELECT string_agg('{"dimension":' || to_json(d) || ',"n":' || n || ',"min_ms":' || a || ',"mean_ms":' || b || ',"max_ms":' || c || '}', ',' ORDER BY d) AS latency
+  FROM (SELECT event_type AS d, count(*) AS n, round(min(value), 2) AS a, round(avg(value), 2) AS b, round(max(value), 2) AS c FROM events WHERE value IS NOT NULL GROUP BY 1))
+SELECT '{"n_replaced":' || n_replaced || ',"n_deanonymized":' || n_deanonymized || ',"types":{' || types || '},"latency":[' || latency || ']}' AS snapshot FROM volume, kinds, times""",
+)
 def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("dimension"), F.col("value").alias("ms"))
     return M.snapshot(materialize(_spans(spark, sf_dir), "spans"), samples, "doc_id")
@@ -475,43 +507,76 @@ def _event(name: str, text: str) -> str:
 _HOST = {"anthropic": "api.anthropic.com", "openai": "api.openai.com", "gemini": "aiplatform.googleapis.com", "cohere": "api.cohere.ai", "replicate": "api.replicate.com", "passthrough": "gateway.ai.cloudflare.com"}
 
 
-def stream_lines(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, token map): each conversation as a stream that names a token, cut in pieces of seven characters (for the
-    passthrough provider in one piece, as it does not rejoin)."""
-    turns = table(spark, sf_dir, "conversations").where("turn = 0")
-    mail = F.concat(F.lit("user"), F.col("conv_id"), F.lit("@example.com"))
+def _said(name: str, mail: str) -> str:
+    """What a turn's stream says, as SQL of both dialects: its whole text, and the mail address twice. A plain-text format has no
+    line ends within a text."""
+    text = "coalesce(text, '')" if name != "replicate" else "replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ')"
+    return f"concat({text}, ' hello ', {mail}, ' and ', {mail}, '!')"
+
+
+def stream_lines(spark: SparkSession, sf_dir: str, name: str, width: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(lines, token map): each turn of each conversation as a stream of its whole text and of tokens, cut in pieces of `width`
+    characters (for the passthrough provider in one piece, as it does not rejoin)."""
     from maskwright.functions.tokens import token
 
-    said = turns.select("conv_id", mail.alias("original"), token("EMAIL", mail).alias("token"))
-    text = F.concat(F.lit("hello "), F.col("token"), F.lit(" and "), F.col("token"), F.lit("!"))
-    width = 1000 if name == "passthrough" else 7
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")), lambda i: F.substr(text, i * width + 1, F.lit(width)))
+    mail = F.concat(F.lit("user"), F.col("conv_id"), F.lit("@example.com"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", mail.alias("original"), token("EMAIL", mail).alias("token"))
+    text = F.expr(_said(name, "token"))
+    size = 1 << 30 if name == "passthrough" else width
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")), lambda i: F.substr(text, i * size + 1, F.lit(size)))
     before, after = _event(name, "@@").split("@@")
-    lines = said.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("conv_id").alias("session_id"), F.posexplode(pieces).alias("seq", "piece"))
-    lines = lines.select("stream_id", "session_id", F.col("seq").cast("long").alias("seq"), F.lit(_HOST[name]).alias("host"), F.concat(F.lit(before), F.col("piece"), F.lit(after)).alias("line"), F.lit(False).alias("last"))
-    return lines, said.select(F.col("conv_id").alias("session_id"), "token", "original")
+    lines = turns.select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.col("conv_id").alias("session_id"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("seq", "piece"))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("piece").alias("x"))), '^[{]"x":"(.*)"[}]$', 1) if name != "replicate" else F.col("piece")
+    lines = lines.select("stream_id", "session_id", F.col("seq").cast("long").alias("seq"), F.lit(_HOST[name]).alias("host"), F.concat(F.lit(before), quoted, F.lit(after)).alias("line"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    return lines, turns.select(F.col("conv_id").alias("session_id"), "token", "original").distinct()
 
 
-def _stream(name: str) -> None:
-    before, after = (x.replace("'", "''") for x in _event(name, "@@").split("@@"))
-    shown = f"'hello ' || {_MAIL} || ' and ' || {_MAIL} || '!'"
-    path = {"anthropic": "$.delta.text", "openai": "$.choices[0].delta.content", "gemini": "$.candidates[0].content.parts[0].text", "cohere": "$.delta.message.content.text", "passthrough": "$.text"}.get(name)
-    assert before is not None and after is not None
+_TEXT_AT = {"anthropic": "$.delta.text", "openai": "$.choices[0].delta.content", "gemini": "$.candidates[0].content.parts[0].text", "cohere": "$.delta.message.content.text", "passthrough": "$.text"}
+
+
+def _shown(out: DataFrame, name: str) -> DataFrame:
+    """(stream_id, shown): the text that a reader of the restored lines sees."""
+    payload = F.substr("line", F.lit(len("data: ") + 1))
+    text = F.get_json_object(payload, _TEXT_AT[name]) if name in _TEXT_AT else payload
+    parts = out.select("stream_id", "seq", "part", text.alias("text")).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))).alias("p"))  # a response's lines
+    return parts.select("stream_id", F.array_join(F.col("p.text"), "").alias("shown"))
+
+
+def _shown_sql(name: str) -> str:
+    return f"SELECT concat(conv_id, '-', turn) AS stream_id, {_said(name, _MAIL)} AS shown FROM conversations"
 
-    @query(f"stream_deanonymize_{name}", f"SELECT CAST(conv_id AS VARCHAR) AS stream_id, {shown} AS shown FROM conversations WHERE turn = 0")
+
+def _stream(name: str) -> None:
+    @query(f"stream_deanonymize_{name}", _shown_sql(name))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines, tokens = stream_lines(spark, sf_dir, name)
-        out = restore_batch(with_tokens(lines, tokens))
-        payload = F.substr("line", F.lit(len("data: ") + 1))
-        text = F.get_json_object(payload, path) if path else payload
-        parts = out.select("stream_id", "seq", "part", text.alias("text")).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))).alias("p"))
-        return parts.select("stream_id", F.array_join(F.col("p.text"), "").alias("shown"))
+        return _shown(restore_batch(with_tokens(lines, tokens)), name)
 
 
 for _name in _HOST:
     _stream(_name)
 
 
+@query("stream_restore_stateful", " UNION ALL ".join(f"{_shown_sql(n)} WHERE conv_id % {len(_HOST)} = {i}" for i, n in enumerate(_HOST)))
+def stream_restore_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn through the stateful operator: a file source of three micro-batches, of which the first has the lines of seq 1,
+    4, 7, ... of all streams, the next those of 2, 5, 8, ..., the last the rest. Conversations take turns in provider."""
+    folder = f"{shared_dir(spark)}/streams-{uuid.uuid4().hex}"
+    for i, name in enumerate(_HOST):
+        lines, tokens = stream_lines(spark, sf_dir, name)
+        own = with_tokens(lines.where(F.col("session_id") % len(_HOST) == i), tokens).withColumn("batch", (F.col("seq") + 2) % 3)
+        own.write.mode("append").partitionBy("batch").parquet(f"{folder}/lines")
+    schema = "stream_id string, seq long, line string, last boolean, provider string, tokens map<string,string>"
+    for batch in range(3):  # one run a batch, as the source orders files by time
+        source = spark.readStream.schema(schema + ", batch int").option("basePath", f"{folder}/lines").parquet(f"{folder}/lines/batch=[0-{batch}]")
+        run = restore_streaming(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = spark.read.schema("stream_id string, seq long, part long, line string").parquet(f"{folder}/out")
+    conversation = F.split_part("stream_id", F.lit("-"), F.lit(1)).cast("long") % len(_HOST)
+    shown = [_shown(out.where(conversation == i), name) for i, name in enumerate(_HOST)]
+    return reduce(DataFrame.unionByName, shown)
+
+
 @query("s3fifo_replay")
 def s3fifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")

@@ -10,6 +10,7 @@ import uuid
 import zlib
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,68 +124,89 @@ def event_lines(df: DataFrame, body: str = "body", key: str = "stream_id") -> Da
 class VerdictTable:
     """(original, token) as Parquet parts: reads see the last write of a value, deletes are rows with a null token.
 
-    Each write is a new part with a rising number, so a failed job leaves the table as it was; `compact` folds the parts.
+    Each write is a new part under a number of its own, so a failed job leaves the table as it was; parts count once they are
+    complete. `compact` folds the parts that stand.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _parts(self) -> DataFrame | None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(conf).exists(folder):
-            return None
-        return self.spark.read.schema("original string, token string, version long").parquet(f"{self.path}/*")
-
-    def _next(self) -> int:
-        parts = self._parts()
-        return 1 if parts is None else (parts.agg(F.max("version")).first()[0] or 0) + 1
+    def _names(self) -> list[str]:
+        """Complete parts: v and a number for writes, f for folded ones."""
+        fs, folder = _files(self.spark, self.path)
+        if not fs.exists(folder):
+            return []
+        names = [p.getPath().getName() for p in fs.listStatus(folder) if p.isDirectory()]
+        return sorted(n for n in names if n[0] in "vf" and fs.exists(_files(self.spark, f"{self.path}/{n}/_SUCCESS")[1]))
+
+    def _last(self, names: list[str]) -> DataFrame:
+        parts = self.spark.read.schema("original string, token string, version long").parquet(*(f"{self.path}/{n}" for n in names))
+        return parts.groupBy("original").agg(F.max_by("token", "version").alias("token"), F.max("version").alias("version"))
+
+    def _claim(self) -> int:
+        """A number that no other writer has: its claim is a file that can be created only once."""
+        fs, folder = _files(self.spark, f"{self.path}/_claims")
+        fs.mkdirs(folder)
+        version = 1 + max((int(p.getPath().getName()) for p in fs.listStatus(folder)), default=0)
+        while not self._created(f"{self.path}/_claims/{version:08d}"):
+            version += 1
+        return version
+
+    def _created(self, path: str) -> bool:
+        fs, file = _files(self.spark, path)
+        try:
+            return fs.createNewFile(file)
+        except Py4JJavaError:  # some file systems raise where the file exists
+            if fs.exists(file):
+                return False
+            raise
 
     def put(self, rows: DataFrame) -> None:
-        version = self._next()
+        version = self._claim()
         rows.select("original", F.col("token").cast("string").alias("token"), F.lit(version).cast("long").alias("version")).write.parquet(f"{self.path}/v{version:08d}")
 
     def delete(self, originals: DataFrame) -> None:
         self.put(originals.select("original", F.lit(None).cast("string").alias("token")))
 
     def read(self) -> DataFrame:
-        parts = self._parts()
-        if parts is None:
+        names = self._names()
+        if not names:
             return self.spark.createDataFrame([], "original string, token string")
-        last = parts.groupBy("original").agg(F.max_by("token", "version").alias("token"))
-        return last.where("token is not null and token <> ''")
+        return self._last(names).where("token is not null and token <> ''").select("original", "token")
 
     def compact(self) -> None:
-        version = self._next()
-        self.read().select("original", "token", F.lit(version).cast("long").alias("version")).write.parquet(f"{self.path}/v{version:08d}")
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(conf)
-        for part in fs.listStatus(folder):
-            if part.getPath().getName() < f"v{version:08d}":
-                fs.delete(part.getPath(), True)
+        """Fold the parts that stand now into one. It keeps each value's version and deletes, so that any mix of old parts, the
+        folded one and parts written meanwhile says the same, whatever is removed first."""
+        names = self._names()
+        if len(names) > 1:
+            self._last(names).write.parquet(f"{self.path}/f{uuid.uuid4().hex}")
+            for n in names:
+                fs, where = _files(self.spark, f"{self.path}/{n}")
+                fs.delete(where, True)
 
 
 def load_domains(spark: SparkSession, path: str, default: list[str]) -> Registry:
     """The saved list, which replaces the default whole; the default where nothing is saved."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    if not file.getFileSystem(conf).exists(file):
+    fs, file = _files(spark, path)
+    if not fs.exists(file):
         return Registry(default)
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # a list of names that an operator keeps
     return Registry(json.loads(text))
 
 
 def save_domains(spark: SparkSession, path: str, registry: Registry) -> None:
-    """A sorted JSON array, written aside and renamed, so that readers see the old list or the new one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    file, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    fs = file.getFileSystem(conf)
+    """A sorted JSON array, written aside and renamed over the old list in one step: readers see the old list or the new one."""
+    jvm = spark.sparkContext._jvm
+    fs, file = _files(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(aside, True)
     out.write(bytearray(json.dumps(registry.all(), indent=2).encode()))
     out.close()
-    fs.delete(file, False)
-    fs.rename(aside, file)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    full = file.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside.makeQualified(fs.getUri(), fs.getWorkingDirectory()), full, how)
 
 
 def valid_domains(domains: DataFrame) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright.operators.routing import provider
-from maskwright.streaming.sse import StreamRestorer
+from maskwright.streaming.sse import LineAssembler, StreamRestorer
 
 OUT = "stream_id string, seq long, part long, line string"
 
@@ -23,45 +26,144 @@ def with_tokens(lines: DataFrame, tokens: DataFrame, session: str = "session_id"
     return lines.join(maps, session, "left").withColumn("provider", provider(F.col("host")))
 
 
-def _restored(rows: pd.DataFrame, state: str | None, stream_id: str) -> tuple[pd.DataFrame, str | None]:
-    rows = rows.sort_values("seq", kind="stable")
-    tokens = next((t if isinstance(t, dict) else dict(t) for t in rows["tokens"] if t is not None), {})
-    restorer, out = StreamRestorer(rows["provider"].iloc[0], tokens, state), []
-    for r in rows.itertuples():
-        shown = list(restorer.line(r.line or ""))
-        if r.last:
-            shown += restorer.end()
-        out += [(stream_id, int(r.seq), i, x) for i, x in enumerate(shown)]
-    done = bool(rows["last"].any())
-    return pd.DataFrame(out, columns=["stream_id", "seq", "part", "line"]), None if done else restorer.state()
-
-
 def restore_batch(lines: DataFrame) -> DataFrame:
     """(stream_id, seq, part, line) of complete streams; the rows of one response are one group, of a response's size."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.copy()
-        rows.loc[rows["seq"].idxmax(), "last"] = True
-        return _restored(rows, None, key[0])[0]
-
-    return lines.select("stream_id", "seq", "line", "last", "provider", "tokens").groupBy("stream_id").applyInPandas(run, OUT)
-
-
-def restore_streaming(lines: DataFrame) -> DataFrame:
-    """The same for a streaming frame: what is held back is state, dropped with a stream's last line. Lines of one stream come
-    in order of batches, and are put in order of seq within a batch."""
+        stream = _Stream(key[0], None)
+        stream.take(rows)
+        stream.run(over=True)
+        return pd.DataFrame(stream.out, columns=["stream_id", "seq", "part", "line"])
+
+    columns = ["stream_id", "seq", "line" if "line" in lines.columns else F.lit(None).cast("string").alias("line"), *(["chunk"] if "chunk" in lines.columns else []), "last", "provider", "tokens"]
+    return lines.select(*columns).groupBy("stream_id").applyInPandas(run, OUT)
+
+
+#: What a stream keeps between micro-batches: text held back, the seq that comes next, lines that came before their turn, the
+#: provider, the token map (once, not with every line), bytes of an unfinished line, and the place of the last line written.
+STATE = "held string, next long, early string, provider string, tokens string, rest binary, seq long, part long"
+
+
+class _Stream:
+    """One stream between its micro-batches."""
+
+    def __init__(self, stream_id: str, kept: tuple | None):
+        self.id = stream_id
+        held, self.next, early, self.provider, tokens, rest, self.seq, self.part = kept or (None, 0, "{}", None, "{}", b"", 0, -1)
+        self.held, self.tokens = held, json.loads(tokens)
+        self.early = {int(k): tuple(v) for k, v in json.loads(early).items()}  # seq -> (line or chunk, last)
+        self.lines = LineAssembler(bytes(rest))
+        self.out: list[tuple] = []
+
+    def take(self, rows: pd.DataFrame) -> None:
+        """Rows in any order; a seq that was seen before is left out."""
+        for r in rows.itertuples():
+            if self.provider is None:
+                self.provider = r.provider
+            if not self.tokens and r.tokens is not None:
+                self.tokens = r.tokens if isinstance(r.tokens, dict) else dict(r.tokens)
+            if r.seq >= self.next:
+                chunk = getattr(r, "chunk", None)
+                self.early.setdefault(int(r.seq), (r.line if chunk is None else [bytes(chunk).hex()], bool(r.last)))
+
+    def _show(self, seq: int, lines: Iterator[str] | list[str]) -> None:
+        for line in lines:
+            self.part = self.part + 1 if seq == self.seq else 0
+            self.seq = seq
+            self.out.append((self.id, seq, self.part, line))
+
+    def run(self, over: bool = False) -> bool:
+        """Restore what is in turn; over: all there is. Whether the stream has ended."""
+        restorer = StreamRestorer(self.provider or "passthrough", self.tokens, self.held)
+        while self.early and (over or self.next in self.early):
+            seq = min(self.early) if over else self.next
+            body, last = self.early.pop(seq)
+            for line in self.lines.feed(bytes.fromhex(body[0])) if isinstance(body, (list, tuple)) else [body or ""]:
+                self._show(seq, restorer.line(line))
+            self.next = seq + 1
+            over = over or last
+        if over:
+            for line in self.lines.end():
+                self._show(max(self.seq, self.next - 1), restorer.line(line))
+            self._show(max(self.seq, self.next - 1), restorer.end())
+        self.held = restorer.state()
+        return over
+
+    def kept(self) -> tuple:
+        return self.held, self.next, json.dumps(self.early), self.provider, json.dumps(self.tokens), self.lines.rest, self.seq, self.part
+
+
+def restore_streaming(lines: DataFrame, idle: str | int | None = None) -> DataFrame:
+    """(stream_id, seq, part, line) of a streaming frame (stream_id, seq from 0 on, line, last, provider, tokens), as
+    `restore_batch` gives them. Lines may come in any order and more than once: what came before its turn waits as state. A
+    column `chunk` (bytes, cut anywhere) may stand for the lines.
+
+    A stream ends with its row marked last, and its state is dropped. With `idle` (a duration, or milliseconds) it also ends when
+    nothing came for so long: what is held is shown in the first micro-batch after that. Such a query runs micro-batches
+    without data, to look at the clock, so it is for triggers by time; an availableNow run of it would not end.
+    """
+    wait = None if idle is None else idle if isinstance(idle, int) else int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
-        out, kept = _restored(rows, state.get[0] if state.exists else None, key[0])
-        if kept is None:
+        stream = _Stream(key[0], state.get if state.exists else None)
+        if not state.hasTimedOut:
+            for rows in frames:
+                stream.take(rows)
+        if stream.run(over=state.hasTimedOut):
             state.remove()
         else:
-            state.update((kept,))
-        yield out
-
-    rows = lines.select("stream_id", "seq", "line", "last", "provider", "tokens")
-    return rows.groupBy("stream_id").applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.NoTimeout)
+            state.update(stream.kept())
+            if wait is not None:
+                state.setTimeoutDuration(wait)
+        yield pd.DataFrame(stream.out, columns=["stream_id", "seq", "part", "line"])
+
+    columns = ["stream_id", "seq", "line" if "line" in lines.columns else F.lit(None).cast("string").alias("line"), *(["chunk"] if "chunk" in lines.columns else []), "last", "provider", "tokens"]
+    return lines.select(*columns).groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def read_chunks(spark: SparkSession, path: str, size: int = 32 << 10, streaming: bool = False) -> DataFrame:
+    """(stream_id, seq, chunk, last) of response bodies, a file each, as the reader of a connection would give them: chunks of
+    `size` bytes, cut anywhere. The last chunk of a file is marked; an empty file has none, as Spark reads no empty files."""
+    reader = spark.readStream if streaming else spark.read
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = (reader.schema(schema) if streaming else reader).format("binaryFile").load(path)
+    n = F.greatest(F.lit(1), F.ceil(F.length("content") / size)).cast("int")
+    rows = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("stream_id"), "content", n.alias("n"))
+    rows = rows.select("stream_id", "content", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    return rows.select("stream_id", F.col("k").cast("long").alias("seq"), F.substr("content", F.col("k") * size + 1, F.lit(size)).alias("chunk"), (F.col("k") == F.col("n") - 1).alias("last"))
+
+
+class FlushingSink:
+    """A `foreach` sink that appends each line to its stream's file and flushes it at once, so that a reader sees an event when
+    it is restored. A partition's rows of one stream come in order; rows that a retried batch writes again are left out."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def open(self, partition: int, epoch: int) -> bool:
+        os.makedirs(self.folder, exist_ok=True)
+        self.seen: dict[str, tuple[int, int]] = {}
+        return True
+
+    def _last(self, path: str) -> tuple[int, int]:
+        if not os.path.exists(path):
+            return -1, -1
+        with open(path, encoding="utf-8", newline="") as f:
+            rows = [json.loads(x) for x in f if x.endswith("\n")]
+        return (rows[-1]["seq"], rows[-1]["part"]) if rows else (-1, -1)
+
+    def process(self, row: Row) -> None:
+        path = os.path.join(self.folder, quote(row.stream_id, safe="") + ".jsonl")
+        if path not in self.seen:
+            self.seen[path] = self._last(path)
+        if (row.seq, row.part) > self.seen[path]:
+            with open(path, "a", encoding="utf-8") as f:
+                f.write(json.dumps({"seq": row.seq, "part": row.part, "line": row.line}) + "\n")
+                f.flush()
+            self.seen[path] = (row.seq, row.part)
+
+    def close(self, error: Exception | None) -> None:
+        self.seen = {}
 
 
 def choose_path(responses: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
 """Routing, verdicts, JSON bodies, cache replay, metrics, configuration and sources."""
 
 import gzip
+import io
 import json
+import random
+import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import gojson
+from maskwright.functions.tokens import session_id
 from maskwright.operators import confidence as C
 from maskwright.operators import metrics as M
 from maskwright.operators import routing as R
@@ -15,6 +19,7 @@ from maskwright.operators.json_body import anonymize_bodies, inject
 from maskwright.operators.s3fifo import S3Fifo
 from maskwright.plans import fixtures as X
 from maskwright.sources import config, tables
+from maskwright.sources.log import Log
 
 
 def test_globs_and_providers(spark):
@@ -122,3 +127,113 @@ def test_sources(spark, tmp_path):
     assert tables.load_domains(spark, path, ["x.com"]).all() == ["a.com", "c.com"]
     ok, over = tables.bodies(spark.createDataFrame([("x" * 11,), (None,), ("x",)], "body string"), most=10)
     assert (ok.count(), over.count()) == (2, 1)
+
+
+def test_json_keeps_control_characters(spark):
+    rows = [(1, '{"a":"x\\u0001y","b":["\\u0001","bob@x.com\\u0001bob@x.com"]}'), (2, "raw \x01 bob@x.com"), (3, "{}")]
+    got = {r.id: r.anonymized for r in anonymize_bodies(spark.createDataFrame(rows, "id long, body string"), "id", "body", ["GLOBAL"]).collect()}
+    one = json.loads(got[1])
+    assert one["a"] == "x\x01y" and one["b"][0] == "\x01" and one["b"][1].count("[PII_EMAIL_") == 2 and "\x01" in one["b"][1]
+    assert got[2].startswith("raw \x01 [PII_EMAIL_") and got[3] == "{}"
+
+
+def test_many_leaves_stay_in_order(spark):
+    """Bodies of more leaves than a batch has rows, several in a partition."""
+    rows = [(k, json.dumps({"l": [f"v{k}.{i}" for i in range(9000 * (k % 2))], "n": k})) for k in range(5)]
+    got = {r.id: json.loads(r.anonymized) for r in anonymize_bodies(spark.createDataFrame(rows, "id long, body string").coalesce(1), "id", "body", ["GLOBAL"]).collect()}
+    assert all(got[k] == json.loads(body) for k, body in rows)
+
+
+def brute_s3fifo(trace, capacity):
+    """The same rules with plain lists, scanned for every question."""
+    small, main, ghosts, store, seen = [], [], [], {}, []
+    most, ghost_most = max(1, capacity // 10), max(4, 2 * max(1, capacity // 10))
+    where = lambda k: next((q for q in (small, main) for e in q if e[0] == k), None)
+
+    def evict():
+        while len(small) + len(main) > capacity:
+            if small:
+                e = small.pop(0)
+                if e[2] > 0:
+                    main.append([e[0], e[1], 0])
+                else:
+                    if e[0] in ghosts:
+                        ghosts.remove(e[0])
+                    ghosts.append(e[0])
+                    del ghosts[:-ghost_most]
+            else:
+                e = main.pop(0)
+                if e[2] > 0:
+                    main.append([e[0], e[1], e[2] - 1])
+
+    def admit(k, v):
+        q = where(k)
+        if q is not None:
+            next(e for e in q if e[0] == k)[1] = v
+            return
+        if k in ghosts:
+            ghosts.remove(k)
+            main.append([k, v, 0])
+        else:
+            small.append([k, v, 0])
+        evict()
+
+    for op, k, v in trace:
+        got = None
+        if op == "set":
+            admit(k, v)
+            store[k] = v
+        elif op == "delete":
+            q = where(k)
+            if q is not None:
+                q[:] = [e for e in q if e[0] != k]
+            store.pop(k, None)
+        else:
+            q = where(k)
+            if q is not None:
+                e = next(e for e in q if e[0] == k)
+                e[2] = min(3, e[2] + 1)
+                got = e[1]
+            elif store.get(k):
+                got = store[k]
+                admit(k, got)
+        seen.append((got, next(("small" if q is small else "main" for q in (small, main) for e in q if e[0] == k), "ghost" if k in ghosts else "none")))
+    return seen
+
+
+@pytest.mark.parametrize("capacity", [2, 5, 20, 50])
+def test_s3fifo_against_lists(capacity):
+    rng = random.Random(capacity)
+    trace = [(rng.choices(("get", "set", "delete"), (6, 3, 0.5))[0], f"k{int(rng.paretovariate(0.6)) % 80}", f"v{i}") for i in range(3000)]
+    cache, got = S3Fifo(capacity), []
+    for op, k, v in trace:
+        found = cache.get(k) if op == "get" else cache.set(k, v) if op == "set" else cache.delete(k)
+        got.append((found, cache.place(k)))
+    assert got == brute_s3fifo(trace, capacity)
+
+
+def test_errors_sessions_status_and_log(spark):
+    rows = spark.createDataFrame([("timeout", None), ("", "bad body"), (None, None), ("reset", "bad body")], "upstream_error string, anonymize_error string")
+    assert tuple(M.error_counts(rows).first()) == (2, 2)
+    names = [r[0] for r in spark.range(50).select(session_id()).collect()]
+    assert len(set(names)) == 50 and all(re.fullmatch("[0-9a-f]{16}", n) for n in names)
+    told = json.loads(tables.status(R.Registry(["b.com", "a.com"]), ["US"]))
+    assert told == {"status": "ok", "domains": ["a.com", "b.com"], "packs": ["US"]}
+    out = io.StringIO()
+    log = Log("proxy", "WARN", out)
+    assert not log.write("info", "x") and log.write("error", "gone") and not Log("p", "odd", out).write("debug", "x")
+    assert re.fullmatch(r"\S{20} ERROR proxy        gone\n", out.getvalue())
+
+
+def test_tables_under_two_writers(spark, tmp_path):
+    store, other = (tables.VerdictTable(spark, f"file://{tmp_path}/v") for _ in range(2))
+    assert [store._claim(), other._claim(), store._claim()] == [1, 2, 3]
+    frame = lambda *r: spark.createDataFrame(list(r), "original string, token string")
+    store.put(frame(("a", "1"), ("b", "2")))
+    store.delete(frame(("b", None)))
+    names = store._names()
+    store.compact()
+    other.put(frame(("c", "3")))
+    assert sorted(tuple(r) for r in store.read().collect()) == [("a", "1"), ("c", "3")] and not set(names) & set(store._names())
+    (tmp_path / "v" / "v00000099").mkdir()  # a write that did not end
+    assert store.read().count() == 2

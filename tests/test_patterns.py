@@ -1,12 +1,15 @@
 """Patterns and validators: the literal tables, and the traps between the two regex dialects."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.functions.patterns import CATALOGUE, SECRETS, Pattern, as_literal, load_packs, pattern, pii_types, to_java
+from maskwright.functions import patterns
+from maskwright.functions.patterns import CATALOGUE, SECRETS, Pattern, all_packs, as_literal, load_packs, pattern, pii_types, to_java
 from maskwright.functions.tokens import TOKEN, longest_token
-from maskwright.functions.validators import CHECKS
-from maskwright.operators.anonymize import matches
+from maskwright.functions.validators import CHECKS, register_check
+from maskwright.operators.anonymize import anonymize, matches
 
 HITS = {
     "email": (["alice@example.com", "user.name+tag@domain.co.uk", "test@sub.domain.org"], ["user..name@example.com", "user.@example.com", "missing-domain@"]),
@@ -82,3 +85,29 @@ def test_literal_and_types(spark):
     assert df.select(matches("t", lit)).first()[0] == ["a.b*c"]
     assert longest_token(["INSURANCEID"]) == 34 and "EMAIL" in pii_types()
     assert isinstance(lit, Pattern) and TOKEN
+
+
+def test_catalogue_is_pinned():
+    """The expressions as they must be, by digest of "pack name regex type confidence validator" lines: a change must be meant."""
+    lines = "\n".join(f"{p.pack} {p.name} {p.regex} {p.pii_type} {p.confidence} {p.validator}" for p in CATALOGUE)
+    assert hashlib.sha256(lines.encode()).hexdigest() == "ed247f0704a2f40775a9a052bd567a75e824808978c720d56cfca4990ddebf30"
+    by = {p.name: p.regex for p in CATALOGUE}
+    assert by["ssn"] == r"\b\d{3}-\d{2}-\d{4}\b" and by["zip_us"] == r"\b\d{5}(?:-\d{4})?\b" and by["kvk"] == r"\b\d{8}\b" and by["bsn"] == r"\b\d{9}\b"
+
+
+def test_default_pack_order():
+    assert all_packs() == ["DE", "FINANCE_EU", "FR", "GLOBAL", "HEALTHCARE", "NL", "US"]
+
+
+def test_registered_packs_and_checks(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "_REGISTERED", [*CATALOGUE])
+    patterns.register(Pattern("badge", "OWN", r"\bB-\d{4}\b", "BADGE", 0.9, "even"))
+    register_check("even", lambda v: f"try_cast(substring({v}, 3) AS INT) % 2 = 0")
+    try:
+        df = spark.createDataFrame([("B-1234 B-1235",)], "t string")
+        done = anonymize(df, "t", ["OWN"]).first()
+        assert done.anonymized.startswith("[PII_BADGE_") and done.anonymized.endswith(" B-1235") and all_packs()[-1] == "OWN"
+        with pytest.warns(UserWarning, match="NONE"):
+            anonymize(df, "t", ["OWN", "NONE"])
+    finally:
+        del CHECKS["even"]

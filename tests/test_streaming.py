@@ -1,11 +1,15 @@
 """Streams: every cut of every format restores the text; the stateful operator agrees with the batch."""
 
 import json
+import shutil
+import time
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from maskwright.plans.queries import _event
-from maskwright.streaming.restore import restore_batch, restore_streaming
+from maskwright.streaming.restore import FlushingSink, read_chunks, restore_batch, restore_streaming
 from maskwright.streaming.sse import StreamRestorer, restore_stream, safe_cut
 
 TOK, TOK2 = "[PII_EMAIL_c160f8cc4b2e1a3d]", "[PII_INSURANCEID_0123456789abcdef]"
@@ -49,33 +53,79 @@ def test_other_events():
     assert list(StreamRestorer("openai", {}).line("data: x")) == ["data: x"] and list(StreamRestorer("openai", MAP).line("data: [DONE]")) == ["data: [DONE]"]
 
 
-def test_stateful_operator(spark, tmp_path):
-    text, rows = f"a {TOK} b", []
-    for s in range(3):
-        pieces = [text[i : i + 5] for i in range(0, len(text), 5)]
-        rows += [(f"s{s}", i, _event("openai", p), i == len(pieces) - 1, "openai", MAP) for i, p in enumerate(pieces)]
-    schema = "stream_id string, seq long, line string, last boolean, provider string, tokens map<string,string>"
-    for k, part in enumerate((rows[::2], rows[1::2])):  # batches in order of seq for no stream: both halves hold all streams
-        pass
-    first = [r for r in rows if r[1] < 3]
-    rest = [r for r in rows if r[1] >= 3]
-    for k, part in enumerate((first, rest)):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in{k}")
-    source = f"{tmp_path}/in"
-    import shutil
-
-    shutil.copytree(f"{tmp_path}/in0", source)
-    lines = spark.readStream.schema(schema).parquet(f"file://{source}")
-    def start():
-        q = restore_streaming(lines).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
-    start()
-    for f in (tmp_path / "in1").glob("part*"):
-        shutil.copy(f, source)
-    start()
-    got = {}
-    for r in sorted(spark.read.parquet(f"file://{tmp_path}/out").collect(), key=lambda r: (r.stream_id, r.seq, r.part)):
-        got[r.stream_id] = got.get(r.stream_id, "") + json.loads(r.line[6:])["choices"][0]["delta"]["content"]
-    assert got == {f"s{s}": text.replace(TOK, MAP[TOK]) for s in range(3)}
-    assert restore_batch(spark.createDataFrame(rows, schema)).count() > 0
+SCHEMA = "stream_id string, seq long, line string, last boolean, provider string, tokens map<string,string>"
+
+
+def run_stream(spark, tmp_path, batches, schema=SCHEMA, idle=None):
+    """The sink's rows after each micro-batch, in which the operator got the rows of `batches`."""
+    seen = []
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{source}")
+    query = restore_streaming(lines, idle).writeStream.foreachBatch(lambda df, n: seen.append(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp")
+    for k, rows in enumerate(batches):
+        made = tmp_path / f"made{k}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{made}")
+        shutil.copy(next(made.glob("part*")), source / f"{k}.parquet")
+        if idle is None:
+            run = query.trigger(availableNow=True).start()
+            assert run.awaitTermination(60) and run.exception() is None
+    if idle is not None:
+        run = query.trigger(processingTime="0 seconds").start()
+        until = time.time() + 60
+        while time.time() < until and not any(r.line and TOK[:9] in r.line for b in seen for r in b):
+            time.sleep(0.5)
+        run.stop()
+    return seen
+
+
+def test_stateful_operator_equals_batch(spark, tmp_path):
+    """All providers at once; lines out of order across batches, one of them twice."""
+    text, rows = f"é {TOK} b{TOK2}[x", []
+    for name in [*PATHS, "passthrough"]:
+        size = 5 if name != "passthrough" else 1000
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        rows += [(f"s-{name}", i, _event(name, p), i == len(pieces) - 1, name, MAP) for i, p in enumerate(pieces)]
+    batches = [[r for r in rows if r[1] % 3 == 1], [r for r in rows if r[1] % 3 == 2] + rows[1:2], [r for r in rows if r[1] % 3 == 0]]
+    got = sorted(tuple(r) for b in run_stream(spark, tmp_path, batches) for r in b)
+    want = sorted(tuple(r) for r in restore_batch(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == want
+    for name in PATHS:
+        assert shown(name, "\n".join(x[3] for x in want if x[0] == f"s-{name}")) == text.replace(TOK, MAP[TOK]).replace(TOK2, MAP[TOK2])
+
+
+def test_stream_without_a_last_line_ends_by_time(spark, tmp_path):
+    rows = [("s", 0, _event("openai", "hi " + TOK[:9]), False, "openai", MAP)]
+    out = [r for b in run_stream(spark, tmp_path, [rows], idle=1) for r in b]
+    assert [PATHS["openai"](json.loads(r.line[6:])) for r in out] == ["hi ", TOK[:9]]
+
+
+def test_chunks_of_bytes(spark, tmp_path):
+    text = f"é {TOK} end"
+    body = "".join(_event("cohere", c) + "\r\n\r\n" for c in text).encode()
+    (tmp_path / "bodies").mkdir()
+    (tmp_path / "bodies" / "one").write_bytes(body)
+    (tmp_path / "bodies" / "none").write_bytes(b"")
+    chunks = read_chunks(spark, f"file://{tmp_path}/bodies", size=7)
+    assert chunks.where("stream_id = 'one'").count() == -(-len(body) // 7) and chunks.where("stream_id = 'none'").count() == 0
+    rows = chunks.withColumn("provider", F.lit("cohere")).withColumn("tokens", F.lit(None).cast("map<string,string>"))
+    rows = rows.withColumn("tokens", F.create_map(*(F.lit(x) for kv in MAP.items() for x in kv)))
+    out = [r.line for r in sorted(restore_batch(rows).where("stream_id = 'one'").collect(), key=lambda r: (r.seq, r.part))]
+    assert shown("cohere", "\n".join(out)) == text.replace(TOK, MAP[TOK])
+    stream = read_chunks(spark, f"file://{tmp_path}/bodies", size=7, streaming=True)
+    assert stream.isStreaming and stream.columns == chunks.columns
+
+
+def test_flushing_sink(tmp_path):
+    sink = FlushingSink(str(tmp_path / "out"))
+    rows = [Row(stream_id="a/b", seq=s, part=p, line=f"{s}.{p}") for s, p in ((0, 0), (0, 1), (1, 0))]
+    assert sink.open(0, 0)
+    for r in rows:
+        sink.process(r)
+        file = tmp_path / "out" / "a%2Fb.jsonl"
+        assert json.loads(file.read_text().splitlines()[-1])["line"] == r.line  # there before the next one
+    sink.close(None)
+    sink.open(0, 0)
+    for r in rows:  # a retried batch
+        sink.process(r)
+    assert len(file.read_text().splitlines()) == 3
