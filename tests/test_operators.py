@@ -145,37 +145,37 @@ def test_many_leaves_stay_in_order(spark):
 
 
 def brute_s3fifo(trace, capacity):
-    """The same rules with plain lists, scanned for every question."""
+    """The fixed rules with plain lists, scanned for every question: what leaves a queue for good leaves the store too, the main
+    queue drops its oldest whatever its uses, and a remembered key stays remembered until it is the oldest of too many."""
     small, main, ghosts, store, seen = [], [], [], {}, []
-    most, ghost_most = max(1, capacity // 10), max(4, 2 * max(1, capacity // 10))
+    few, ghost_most = max(1, capacity // 10), max(4, 2 * max(1, capacity // 10))
     where = lambda k: next((q for q in (small, main) for e in q if e[0] == k), None)
 
+    def drop_main():
+        store.pop(main.pop(0)[0], None)
+
     def evict():
         while len(small) + len(main) > capacity:
-            if small:
-                e = small.pop(0)
-                if e[2] > 0:
-                    main.append([e[0], e[1], 0])
-                else:
-                    if e[0] in ghosts:
-                        ghosts.remove(e[0])
+            if not small:
+                drop_main()
+                continue
+            e = small.pop(0)
+            if e[2] > 0:
+                main.append([e[0], e[1], 0])
+                if len(main) > capacity - few:
+                    drop_main()
+            else:
+                store.pop(e[0], None)
+                if e[0] not in ghosts:
                     ghosts.append(e[0])
                     del ghosts[:-ghost_most]
-            else:
-                e = main.pop(0)
-                if e[2] > 0:
-                    main.append([e[0], e[1], e[2] - 1])
 
     def admit(k, v):
         q = where(k)
         if q is not None:
             next(e for e in q if e[0] == k)[1] = v
             return
-        if k in ghosts:
-            ghosts.remove(k)
-            main.append([k, v, 0])
-        else:
-            small.append([k, v, 0])
+        (main if k in ghosts else small).append([k, v, 0])
         evict()
 
     for op, k, v in trace:
