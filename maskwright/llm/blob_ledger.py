@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, text_or_empty
+from maskwright.llm.common import fresh, materialize, text_or_empty
 
 #: The patterns of the base rules, kinds in the order in which ties are listed. Java dialect; the letters of
 #: `assign`'s keyword in either case.
@@ -135,9 +135,10 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     Only the blobs with findings are joined, so clean rows keep their text as it is. Overlapping spans are replaced once.
     """
     paths, known = update(docs, ledger)
-    hits = known.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))
+    spans, hit, blob = (fresh(c, docs.columns) for c in ("_spans", "_hit", "_blob"))
+    hits = known.where(F.size("spans") > 0).groupBy(F.col("blob").alias(hit)).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(spans))
     text = text_or_empty().cast("string")
-    marked = docs.withColumn("_blob", F.sha2(text.cast("binary"), 256)).join(hits.withColumnRenamed("blob", "_hit"), F.col("_blob") == F.col("_hit"), "left")
+    marked = docs.withColumn(blob, F.sha2(text.cast("binary"), 256)).join(hits, F.col(blob) == F.col(hit), "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -145,11 +146,11 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         fresh = F.struct(s.end.alias("at"), F.concat(acc.out, gap, F.lit("[SECRET]")).alias("out"))
         return F.when(s.start >= acc.at, fresh).otherwise(F.struct(F.greatest(acc.at, s.end).alias("at"), acc.out.alias("out")))
 
-    cleaned = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc.out, F.substr(F.col("text"), (acc.at + 1).cast("int"))))
-    out = marked.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned))
+    cleaned = F.aggregate(spans, zero, step, lambda acc: F.concat(acc.out, F.substr(F.col("text"), (acc.at + 1).cast("int"))))
+    out = marked.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cleaned))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(changed))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(changed))
     return out.select(docs.columns)
 
 

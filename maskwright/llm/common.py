@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 
 from maskwright.sources.tables import discard, materialize, shared_dir, table
 
-__all__ = ["discard", "materialize", "release_memory", "shared_dir", "slices", "string_bytes", "table", "text_or_empty", "worker_cache"]
+__all__ = ["discard", "fresh", "materialize", "release_memory", "shared_dir", "slices", "string_bytes", "table", "text_or_empty", "worker_cache"]
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _CACHES: dict[str, dict] = {}
 
 
