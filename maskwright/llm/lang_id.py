@@ -11,7 +11,8 @@ holds out are never read for it. Only the sample's feature vectors reach the dri
 
 Defined cases: null text, or text without a letter, is `und` with score 0; null languages are not learned; with no labelled
 row at all every text is `und`; ties go to the language first by name; repeated rows are predicted each; a null doc_id stays
-null; an empty table gives no rows; extra columns pass by unread.
+null; an empty table gives no rows; extra columns pass by unread. `reject_unknown` leaves an input's own columns alone,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from maskwright.llm.common import slices, string_bytes
+from maskwright.llm.common import fresh, slices, string_bytes
 
 DIMS = 1 << 13
 #: Families by language code; a code that is not listed is a family of its own.
@@ -131,17 +133,19 @@ class LanguageModel:
         return out.tolist(), np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, held_out: Column | None = None, per_lang: int = 400, most_langs: int = 64) -> LanguageModel | None:
-    """A model of the languages in `docs`; None if no row is labelled. The sample holds at most per_lang * most_langs rows."""
+def fit(docs: DataFrame, held_out: Column | None = None, per_lang: int = 400) -> LanguageModel | None:
+    """A model of every language in `docs`; None if no row is labelled. The sample holds at most `per_lang` rows a language; rows
+    that are equal in id, text and language count once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (~held_out if held_out is not None else F.lit(True)))
-    key = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    # the smallest hashes of each language: a threshold from counts that cover all rows, then an exact cut of the few left
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(17)))
+    key = F.pmod("hash", F.lit(1 << 30))
+    # the smallest hashes of each language: a threshold from how many different rows it has, then an exact cut of the few left
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash")).collect()  # a row a language
     if not sizes:
         return None
     near = F.create_map(*(F.lit(v) for r in sizes for v in (r[0], min(1.0, 1.5 * per_lang / r[1] + 20 / r[1]))))
-    sample = rows.where(key < near[F.col("lang")] * float(1 << 30))
+    sample = rows.where(key < near[F.col("lang")] * float(1 << 30)).groupBy("hash", "lang").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=1 << 20):
@@ -157,10 +161,10 @@ def fit(docs: DataFrame, held_out: Column | None = None, per_lang: int = 400, mo
     return LanguageModel(np.stack([np.frombuffer(v, np.float16) for v in got.x]).astype(np.float32), got.lang.tolist())
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """`docs` with lang_pred and score, whole texts, one map pass; columns of these names are replaced."""
-    kept = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
+def predict(docs: DataFrame, model: LanguageModel | None, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """`docs` with lang_pred and score (or other names), whole texts, one map pass; columns of these names are replaced."""
+    kept = docs.drop(lang_as, score_as)
+    schema = StructType([*kept.schema.fields, StructField(lang_as, StringType()), StructField(score_as, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=1 << 20):
@@ -169,7 +173,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             if model is not None and known.any():
                 x = counts_of(*string_bytes(b.column("text").filter(pa.array(known))))
                 lang[known], score[known] = model.predict(x)
-            yield pa.record_batch([*b.columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*b.columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], [*b.schema.names, lang_as, score_as])
 
     return kept.mapInArrow(run, schema)
 
@@ -181,5 +185,5 @@ def held_out_rows(modulus: int = 4, remainder: int = 2) -> Column:
 
 def reject_unknown(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is known with a score of `least` or more; columns stay as they are."""
-    model = fit(docs)
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(docs.columns)
+    lang, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    return predict(docs, fit(docs), lang, score).where((F.col(lang) != "und") & (F.col(score) >= least)).select(docs.columns)
