@@ -9,10 +9,12 @@ is one interval, decoded the same way.
 Writing: a payload byte b is a block whose quantised DC coefficient is b - 128 under a quantiser of 8, so its 64 samples are
 all b, and the DC-only thumbnail is the payload itself. Rows of `WIDTH` blocks (wider for payloads over 8,191 rows) are one
 restart interval each, so that long payloads decode in parallel. A block costs its DC difference and one bit for "no AC".
+A payload over `MOST_BYTES` is stored as several images, one after the other, and read back as one.
 
-Features: dimensions, an average hash and a difference hash of the thumbnail reduced to 8x8 and 9x8 cells, and its mean.
+Features: dimensions, an average hash and a difference hash of the thumbnail reduced to 8x8 and 9x8 cells, and its mean; those
+of several images are listed with a bar between.
 
-Defined cases: null text is the empty text, stored as 64 zero bytes; empty and very long texts, repeated rows and null
+Defined cases: null text is the empty text, stored as 64 zero bytes; empty texts, texts of any length, repeated rows and null
 doc_ids are rows like any other; an empty table gives no rows; extra columns pass by unread. Progressive, arithmetic-coded
 or truncated files raise ValueError in `decode`.
 """
@@ -33,6 +35,9 @@ from maskwright.llm.common import slices
 
 WIDTH = 64
 MOST_BLOCKS = 8191  # of a side: 65,528 samples
+#: Payload bytes of one image: longer payloads are stored as several images, one after the other, so that memory for coding and
+#: decoding is bounded whatever a text's length.
+MOST_BYTES = 1 << 22
 
 #: DC table of the writer: number of codes by length (1 to 16) and the categories 0 to 9 in order of code. Differences of
 #: text bytes are mostly of 4 to 6 bits, so these come first.
@@ -67,11 +72,10 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def width_of(n: int) -> int:
+    """Blocks of a row of an image of n bytes; `MOST_BYTES` take 1,024."""
     w = WIDTH
     while -(-n // w) > MOST_BLOCKS:
         w *= 2
-    if w > MOST_BLOCKS:
-        raise ValueError(f"{n} bytes are over what one image holds")
     return w
 
 
@@ -142,6 +146,56 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     return files
 
 
+def store(payloads: list[bytes], most: int = MOST_BYTES) -> list[bytes]:
+    """The stored form of each payload: its image, or its images one after the other. `most`: a multiple of 64."""
+    out: list[list[bytes]] = [[] for _ in payloads]
+    held, size = [], 0  # (payload, piece) to code together
+
+    def code() -> None:
+        for (i, _), file in zip(held, encode_payloads([p for _, p in held])):
+            out[i].append(file)
+
+    for i, payload in enumerate(payloads):
+        for at in range(0, len(payload), most):
+            piece = payload[at : at + most]
+            if held and size + len(piece) > most:
+                code()
+                held, size = [], 0
+            held.append((i, piece))
+            size += len(piece)
+    if held:
+        code()
+    return [b"".join(x) for x in out]
+
+
+def images_of(stored: bytes) -> list[bytes]:
+    """The images of a stored form. In coded data a byte 255 is followed by 0 or a restart number, and no table of the writer
+    holds one, so an end mark before a start mark is where two images meet."""
+    parts = stored.split(b"\xff\xd9\xff\xd8")
+    return [(b"\xff\xd8" if k else b"") + p + (b"\xff\xd9" if k < len(parts) - 1 else b"") for k, p in enumerate(parts)]
+
+
+def retrieve(stored: list[bytes], sizes: list[int], most: int = MOST_BYTES) -> Iterator[tuple[bytes, list[tuple[int, int, np.ndarray]]]]:
+    """(payload, its images as width, height and thumbnail) of each stored form, decoded some `most` bytes at a time."""
+    files = [images_of(s) for s in stored]
+    flat = [(i, f) for i, fs in enumerate(files) for f in fs]
+    images: list[list] = [[] for _ in stored]
+    at, done = 0, 0
+    while at < len(flat):
+        to, size = at + 1, len(flat[at][1])
+        while to < len(flat) and size + len(flat[to][1]) <= most:
+            size += len(flat[to][1])
+            to += 1
+        for (i, _), image in zip(flat[at:to], thumbnails([f for _, f in flat[at:to]])):
+            images[i].append(image)
+        at = to
+        while done < len(stored) and len(images[done]) == len(files[done]):
+            raw = b"".join(read_payload(t, most) for _, _, t in images[done])
+            yield raw[: sizes[done]], images[done]
+            images[done] = []
+            done += 1
+
+
 @dataclass
 class Image:
     width: int = 0
@@ -358,7 +412,7 @@ def media(docs: DataFrame) -> DataFrame:
         for b in slices(batches, limit=1 << 20):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             full = [padded(r) for r in raw]
-            yield pa.record_batch([b.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(f) for f in full], pa.int64()), pa.array(encode_payloads(full), pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(f) for f in full], pa.int64()), pa.array(store(full), pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
@@ -371,10 +425,9 @@ def features(rows: DataFrame) -> DataFrame:
         for b in slices(batches, "media", 1 << 20):
             files = b.column("media").to_pylist()
             cols: list[list] = [[] for _ in range(7)]
-            for f, n, (w, h, thumb) in zip(files, b.column("payload_bytes").to_pylist(), thumbnails(files)):
-                payload = read_payload(thumb, n)
-                a, d = hashes(thumb)
-                for c, x in zip(cols, (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), f"{w}x{h}:{a}:{d}:{thumb.mean():.3f}", w, h)):
+            for f, (payload, images) in zip(files, retrieve(files, b.column("payload_bytes").to_pylist())):
+                feature = "|".join("{0}x{1}:{3}:{4}:{2:.3f}".format(w, h, t.mean(), *hashes(t)) for w, h, t in images)
+                for c, x in zip(cols, (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature, images[0][0], images[0][1])):
                     c.append(x)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), b.column("payload_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", "))
