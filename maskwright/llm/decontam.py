@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import slices
+from maskwright.llm.common import materialize, slices
 
 WIDTH = 5
 _WORDS = re.compile("[a-z0-9\x80-\U0010ffff]+")
@@ -198,13 +198,14 @@ class ItemIndex:
         return [(d, i, s, m) for (d, i), (s, m) in best.items()]
 
 
-def item_blocks(items: DataFrame, block_shingles: int = 1_000_000) -> Iterator[ItemIndex]:
-    """Indexes of all items, in blocks of about `block_shingles` shingles; only one block is on the driver at a time."""
+def item_blocks(items: DataFrame, block_shingles: int = 1_000_000) -> Iterator[tuple[ItemIndex, bool]]:
+    """(index, whether it is the only one) of all items, in blocks of about `block_shingles` shingles. Callers write a block's
+    result before they ask for the next one, so that one block is on the driver and in a worker at a time."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, words = rows.agg(F.count("*"), F.sum(F.length("text") / 5)).first()
     parts = max(1, -(-int(words or 0) // block_shingles))
     for k in range(parts if n else 0):
-        yield ItemIndex([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()])
+        yield ItemIndex([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]), parts == 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
@@ -223,17 +224,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, bloc
 
         return rows.mapInArrow(run, schema)
 
-    out = None
-    for index in item_blocks(items, block_shingles):
-        out = scan(index) if out is None else out.union(scan(index))
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index, alone in item_blocks(items, block_shingles):
+        out = scan(index) if alone else out.union(materialize(scan(index), "contained"))
+        del index
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
     """The documents that contain no item; a map pass over all columns for each block of items."""
-    for index in item_blocks(items, block_shingles):
+    for index, alone in item_blocks(items, block_shingles):
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             hasher = ShingleHasher()
@@ -242,7 +242,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
                 keep[[x[0] for x in index.search(hasher, b.column("text").to_pylist(), threshold)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema) if alone else materialize(docs.mapInArrow(run, docs.schema), "uncontained")
+        del index, run
     return docs
 
 
