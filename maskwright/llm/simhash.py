@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import materialize, slices
+from maskwright.llm.common import fresh, materialize, slices
 from maskwright.llm.graph import connected_components
 
-#: Fingerprints of a tile: 64 KiB of them; more only where over MAX_TILES tiles would be needed.
-TILE = 8192
-MAX_TILES = 64
+#: Fingerprints of a tile, whatever the size of the input: 128 KiB of them, and as much of ids.
+TILE = 16_384
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -62,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def merge_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 256) -> np.ndarray:
+def merge_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 256, wide: int = 16_384) -> np.ndarray:
     """Component label (an index into a ++ b, the smallest of its component) of each fingerprint under links a-b, or a-a if b is None."""
     a = a.view(np.uint64)  # bit counts of signed numbers are those of their absolute values
     other = a if b is None else b.view(np.uint64)
@@ -70,22 +69,24 @@ def merge_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 2
     label = np.arange(len(a) + (0 if b is None else len(other)))
     for at in range(0, len(a), block):
         rows = a[at : at + block]
-        near = np.bitwise_count(rows[:, None] ^ other[None, :]) <= radius
-        near &= label[at : at + len(rows), None] != label[None, shift : shift + len(other)]
-        r, c = np.nonzero(near)
-        r, c = r + at, c + shift
-        while len(r):
-            x, y = label[r], label[c]
-            open_ = x != y
-            if not open_.any():
-                break
-            r, c, x, y = r[open_], c[open_], x[open_], y[open_]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:  # point every label at its root
-                up = label[label]
-                if (up == label).all():
+        for to in range(0, len(other), wide):  # both sides in blocks: 256 x 16,384 exclusive-ors are 32 MiB
+            part = other[to : to + wide]
+            near = np.bitwise_count(rows[:, None] ^ part[None, :]) <= radius
+            near &= label[at : at + len(rows), None] != label[None, shift + to : shift + to + len(part)]
+            r, c = np.nonzero(near)
+            r, c = r + at, c + shift + to
+            while len(r):
+                x, y = label[r], label[c]
+                open_ = x != y
+                if not open_.any():
                     break
-                label = up
+                r, c, x, y = r[open_], c[open_], x[open_], y[open_]
+                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                while True:  # point every label at its root
+                    up = label[label]
+                    if (up == label).all():
+                        break
+                    label = up
     return label
 
 
@@ -113,11 +114,14 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4, seed
     counts = {r[0]: r[1] for r in nodes.where("node is not null").groupBy(F.bit_count("fp").alias("p")).count().collect()}  # 65 rows at most
     links = spark.createDataFrame([], "u long, v long")
     if counts:
-        bands = tile_bands(counts, max(tile, -(-sum(counts.values()) // MAX_TILES)))
+        bands = tile_bands(counts, tile)  # 65 at most
         base = np.cumsum([0] + [k for _, _, k in bands]).tolist()
-        spans = [(lo, hi) for lo, hi, k in bands for _ in range(k)]
         band = spark.createDataFrame([(p, base[i], k) for i, (lo, hi, k) in enumerate(bands) for p in range(lo, hi + 1)], "p int, base int, k int")
-        pairs = [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if max(spans[i][0], spans[j][0]) - min(spans[i][1], spans[j][1]) <= radius]
+        near = [(x, y) for x in range(len(bands)) for y in range(x, len(bands)) if bands[y][0] - bands[x][1] <= radius]
+        n_pairs = sum(bands[x][2] * bands[y][2] if x != y else bands[x][2] * (bands[x][2] + 1) // 2 for x, y in near)
+        # the pairs of tiles are written out by tasks: they grow with the square of the tiles
+        spans = spark.createDataFrame([(base[x], base[x + 1] - 1, base[y], base[y + 1] - 1) for x, y in near], "a int, b int, c int, d int")
+        pair = spans.select(F.explode(F.sequence("a", "b")).alias("i"), "c", "d").select("i", F.explode(F.sequence(F.greatest("c", "i"), F.col("d"))).alias("j"))
         tiles = (
             nodes.where("node is not null").join(F.broadcast(band), F.bit_count("fp") == F.col("p"))  # 65 rows
             .select((F.col("base") + F.pmod(F.xxhash64("fp"), F.col("k"))).cast("int").alias("tile"), "fp", "node")
@@ -125,8 +129,6 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4, seed
             .select("tile", F.col("rows.fp").alias("fp"), F.col("rows.node").alias("node"))
         )
         tiles = materialize(tiles, "simhash-tiles")
-        pair = spark.createDataFrame(pairs, "i int, j int")
-
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for x in range(batch.num_rows):
@@ -141,7 +143,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4, seed
         a = tiles.select(F.col("tile").alias("i"), F.col("fp").alias("fa"), F.col("node").alias("na"))
         b = tiles.select(F.col("tile").alias("j"), F.col("fp").alias("fb"), F.col("node").alias("nb"))
         # comparing costs far more than reading, so partitions are made by number of pairs, not by size
-        parts = min(len(pairs), 16 * spark.sparkContext.defaultParallelism)
+        parts = min(n_pairs, max(16 * spark.sparkContext.defaultParallelism, n_pairs // 8))
         links = pair.join(a, "i").join(b, "j").repartition(parts, "i", "j").mapInArrow(compare, "u long, v long")
 
     roots = connected_components(links)
@@ -160,17 +162,19 @@ def keep_one(docs: DataFrame, groups: DataFrame, prints_of: Callable[[pd.Series]
     ids = keep.where("doc_id is not null").select("doc_id").distinct()
     named = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     if keep.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        w = Window.partitionBy("doc_id").orderBy("text")
-        named = named.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+        row = fresh("_row", docs.columns)
+        named = named.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1)
+        named = named.select(docs.columns)
     if keep.where("doc_id is null").limit(1).count():
-        alone = keep.where("doc_id is null").select(F.col("fingerprint").alias("_print")).distinct()
+        mark = fresh("_print", docs.columns)
+        alone = keep.where("doc_id is null").select(F.col("fingerprint").alias(mark)).distinct()
 
         @F.pandas_udf(T.StringType())
         def print_of(texts: pd.Series) -> pd.Series:
             return prints_of(texts)
 
-        rest = docs.where("doc_id is null").withColumn("_print", print_of(F.col("text").cast("string"))).join(alone, "_print", "left_semi")
-        named = named.unionByName(rest.dropDuplicates(["_print"]).select(docs.columns))
+        rest = docs.where("doc_id is null").withColumn(mark, print_of(F.col("text").cast("string"))).join(alone, mark, "left_semi")
+        named = named.unionByName(rest.dropDuplicates([mark]).select(docs.columns))
     return named.select(docs.columns)
 
 
