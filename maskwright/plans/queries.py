@@ -22,7 +22,7 @@ from maskwright.operators.json_body import anonymize_bodies, found_in_bodies
 from maskwright.operators.s3fifo import replay
 from maskwright.plans import fixtures as X
 from maskwright.plans.oracle import INPUT, chain_sql, detect_sql
-from maskwright.sources.tables import compressed, decompress, event_lines, materialize, shared_dir, spread, table
+from maskwright.sources.tables import VerdictTable, compressed, decompress, event_lines, materialize, shared_dir, spread, table
 from maskwright.streaming.restore import choose_path, restore_batch, restore_streaming, with_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,22 +229,57 @@ _ANSWERS = (
 )
 
 
-@query("verdicts_parsed", "SELECT original, '[PII_' || kind || '_' || substr(md5(original), 1, 16) || ']' AS token FROM (" + X.values_sql([("Jane Roe", "NAME"), ("ACME", "COMPANY")], "original, kind") + ")")
+#: A model's answer for each order, as SQL of both dialects: one detection, or no array at all.
+_ANSWER = """CASE WHEN o_orderkey % 7 = 0 THEN 'nothing found' ELSE concat('Here: [{"original": "Clerk ', o_custkey % 50, '", "type": "', CASE WHEN o_custkey % 2 = 0 THEN 'name' ELSE 'COMPANY' END, '", "confidence": 0.', o_orderkey % 10, '}] done') END"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "orders").select(F.expr(_ANSWER).alias("response"))
+    return made.unionByName(spark.createDataFrame([(a,) for a in _ANSWERS], "response string"))
+
+
+@query(
+    "verdicts_parsed",
+    "SELECT original, '[PII_' || kind || '_' || substr(md5(original), 1, 16) || ']' AS token FROM (" + X.values_sql([("Jane Roe", "NAME"), ("ACME", "COMPANY")], "original, kind")
+    + " UNION SELECT concat('Clerk ', o_custkey % 50), CASE WHEN o_custkey % 2 = 0 THEN 'NAME' ELSE 'COMPANY' END FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 10 >= 7)",
+)
 def verdicts_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.verdicts_of(spark.createDataFrame([(a,) for a in _ANSWERS], "response string"))
+    return C.verdicts_of(_answers(spark, sf_dir))
+
 
+_HALF = _VERDICTS.replace("< '8'", "BETWEEN '4' AND '7'")
 
-_MODELS = ("claude-sonnet", "claude-3-opus", "gpt-4o", "mistral-7b", "", "claud")
+
+@query(
+    "verdict_table",
+    chain_sql(["GLOBAL", "US"]).rstrip() + ",\n" + _HALF
+    + "SELECT doc_id, place, CASE WHEN s.confidence < 0.7 THEN coalesce(v.token, s.token) ELSE s.token END AS token FROM spans LEFT JOIN verdicts v ON s.original = v.original",
+)
+def verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of verdicts from first write to lookup: written, partly deleted, folded, read and joined."""
+    found = materialize(spans(chain(spark, sf_dir, ["GLOBAL", "US"]), "doc_id"), "spans")
+    store = VerdictTable(spark, f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}")
+    store.put(_verdicts(found))
+    store.delete(found.where(F.substring(F.md5("original"), 1, 1) < "4").select("original").distinct())
+    store.compact()
+    return C.resolve(found, store.read()).select("doc_id", F.col("place").cast("long").alias("place"), "token")
+
+
+_MODEL = "concat(CASE event_id % 5 WHEN 0 THEN 'claude-sonnet' WHEN 1 THEN 'claude-3-opus' WHEN 2 THEN 'gpt-4o' WHEN 3 THEN 'mistral' ELSE 'claud' END, '-', user_id % 20)"
 _RULES = (("claude", "keep tokens"), ("claude-3", "keep all tokens"), ("gpt", "copy tokens"), ("default", "tokens stay"))
 
 
-@query("model_instruction", "SELECT model, coalesce((SELECT instruction FROM r WHERE key <> 'default' AND starts_with(model, key) ORDER BY length(key) DESC LIMIT 1), (SELECT instruction FROM r WHERE key = 'default')) AS instruction FROM m".join(
-    [f"WITH m AS ({X.values_sql(_MODELS, 'model')}), r AS ({X.values_sql(_RULES, 'key, instruction')}) ", ""]))
+@query("model_instruction", f"WITH m AS (SELECT DISTINCT {_MODEL} AS model FROM events UNION SELECT ''), r AS ({X.values_sql(_RULES, 'key, instruction')}) SELECT model, coalesce((SELECT instruction FROM r WHERE key <> 'default' AND starts_with(model, key) ORDER BY length(key) DESC LIMIT 1), (SELECT instruction FROM r WHERE key = 'default')) AS instruction FROM m")
 def model_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame([(m,) for m in _MODELS], "model string")
+    models = table(spark, sf_dir, "events").select(F.expr(_MODEL).alias("model")).union(spark.createDataFrame([("",)], "model string")).distinct()
     return C.instruction_for(models, spark.createDataFrame(list(_RULES), "key string, instruction string"), "").select("model", "instruction")
 
 
+@query("default_packs", X.values_sql(list(enumerate(("DE", "FINANCE_EU", "FR", "GLOBAL", "HEALTHCARE", "NL", "US"))), "place, pack"))
+def default_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(all_packs())), "place int, pack string")
+
+
 # ---- routing --------------------------------------------------------------------------------------------------------
 
 _HOSTS_SQL = f"SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages UNION ALL {X.values_sql(X.HOSTS, 'host')}"
@@ -269,9 +304,10 @@ def host_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts(spark, sf_dir).select("host", R.normalize_host(F.col("host")).alias("normalized"))
 
 
-@query("glob_match", X.values_sql(X.GLOBS, "pat, host, hit"))
+@query("glob_match", X.values_sql(X.GLOBS, "pat, host, hit") + "".join(f" UNION ALL SELECT {X.sql_text(g)}, host, {_duck_glob(g, _NORMAL)} FROM ({_HOSTS_SQL})" for g in _GLOBS))
 def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([g[:2] for g in X.GLOBS], "pat string, host string")
+    rows = rows.unionByName(hosts(spark, sf_dir).select(F.explode(F.array(*map(F.lit, _GLOBS))).alias("pat"), "host"))
     return rows.select("pat", "host", R.glob_match(F.col("pat"), F.col("host")).alias("hit"))
 
 
@@ -339,25 +375,46 @@ def client_hash_(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABEL = "regexp_full_match(x, '[*]|[A-Za-z0-9-]*[*][A-Za-z0-9-]*|[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?') AND (contains(x, '*') OR length(x) <= 63)"
 
 
-@query("valid_domain", f"SELECT domain, length(domain) BETWEEN 1 AND 253 AND len(list_filter(s, lambda x: NOT ({_LABEL}))) = 0 AND (NOT contains(domain, '*') OR (len(s) >= 3 AND s[-1] <> '*' AND NOT (s[1] = '*' AND s[2] = '*'))) AS valid FROM (SELECT domain, string_split(domain, '.') AS s FROM ({X.values_sql(X.DOMAINS, 'domain')}))")
+_VALID = f"length(domain) BETWEEN 1 AND 253 AND len(list_filter(s, lambda x: NOT ({_LABEL}))) = 0 AND (NOT contains(domain, '*') OR (len(s) >= 3 AND s[-1] <> '*' AND NOT (s[1] = '*' AND s[2] = '*')))"
+#: The pages' hosts, as they are and bent three ways.
+_BENT = ("host", "concat('*.', host)", "concat(host, '-')", "concat('*.*.', host)")
+_DOMAINS_SQL = " UNION ALL ".join(f"SELECT DISTINCT {b} AS domain FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)" for b in _BENT)
+
+
+def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host")).distinct()
+    return found.select(F.explode(F.array(*map(F.expr, _BENT))).alias("domain"))
+
+
+@query("valid_domain", f"SELECT domain, {_VALID} AS valid FROM (SELECT domain, string_split(domain, '.') AS s FROM ({X.values_sql(X.DOMAINS, 'domain')} UNION ALL {_DOMAINS_SQL}))")
 def valid_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(d,) for d in X.DOMAINS], "domain string")
+    rows = spark.createDataFrame([(d,) for d in X.DOMAINS], "domain string").unionByName(_domains(spark, sf_dir))
     return rows.select("domain", R.valid_domain(F.col("domain")).alias("valid"))
 
 
 _ADD, _GONE = ("new.example.com", "*.com", "api.openai.com", "*.my.example.com"), ("api.cohere.ai", "*.openai.azure.com", "absent.com")
 
 
-@query("registry_add_remove", "SELECT domain FROM (" + X.values_sql(R.AI_DOMAINS, "domain") + " UNION " + X.values_sql([d for d in _ADD if d != "*.com"], "domain") + ") EXCEPT " + X.values_sql(_GONE, "domain"))
+@query(
+    "registry_add_remove",
+    "SELECT domain FROM (" + X.values_sql(R.AI_DOMAINS, "domain") + " UNION " + X.values_sql([d for d in _ADD if d != "*.com"], "domain")
+    + f" UNION SELECT domain FROM (SELECT domain, string_split(domain, '.') AS s FROM ({_DOMAINS_SQL})) WHERE {_VALID}) EXCEPT " + X.values_sql(_GONE, "domain"),
+)
 def registry_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "domain string")
-    return R.registry_after(frame(R.AI_DOMAINS), frame(_ADD), frame(_GONE))
+    return R.registry_after(frame(R.AI_DOMAINS), frame(_ADD).unionByName(_domains(spark, sf_dir)), frame(_GONE))
+
 
+_TYPE = "CASE event_id % 5 WHEN 0 THEN 'text/event-stream' WHEN 1 THEN 'application/json' WHEN 2 THEN 'Text/Event-Stream' WHEN 3 THEN concat('text/event-stream; of=', event_type) ELSE event_type END"
 
-@query("streaming_response", "SELECT v AS content_type, contains(v, 'text/event-stream') AS is_stream FROM (VALUES ('text/event-stream'), ('text/event-stream; charset=utf-8'), ('Text/Event-Stream'), ('application/json')) AS t(v)")
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.expr(_TYPE).alias("content_type"))
+
+
+@query("streaming_response", f"SELECT event_id, content_type, contains(content_type, 'text/event-stream') AS is_stream FROM (SELECT event_id, {_TYPE} AS content_type FROM events)")
 def streaming_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("text/event-stream",), ("text/event-stream; charset=utf-8",), ("Text/Event-Stream",), ("application/json",)], "content_type string")
-    return rows.select("content_type", R.is_streaming(F.col("content_type")).alias("is_stream"))
+    return _responses(spark, sf_dir).select("event_id", "content_type", R.is_streaming(F.col("content_type")).alias("is_stream"))
 
 
 @query("body_size_cap", "SELECT doc_id, strlen(text) <= 4096 AS within FROM documents")
@@ -365,9 +422,9 @@ def body_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.within_size(F.col("text"), 4096).alias("within"))
 
 
-@query("response_path", "SELECT v AS content_type, CASE WHEN contains(v, 'text/event-stream') THEN 'stream' ELSE 'buffered' END AS path FROM (VALUES ('text/event-stream'), ('application/json'), ('')) AS t(v)")
+@query("response_path", f"SELECT event_id, content_type, CASE WHEN contains(content_type, 'text/event-stream') THEN 'stream' ELSE 'buffered' END AS path FROM (SELECT event_id, {_TYPE} AS content_type FROM events)")
 def response_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choose_path(spark.createDataFrame([("text/event-stream",), ("application/json",), ("",)], "content_type string"))
+    return choose_path(_responses(spark, sf_dir))
 
 
 @query("decompress_bodies", "SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'br' END AS encoding FROM documents")
@@ -454,6 +511,14 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.latency(table(spark, sf_dir, "events").select(F.col("event_type").alias("dimension"), F.col("value").alias("ms")))
 
 
+_FAILED = {"upstream_error": "CASE WHEN event_id % 9 = 0 THEN 'timeout' WHEN event_id % 9 = 1 THEN '' END", "anonymize_error": "CASE WHEN value IS NULL OR user_id % 13 = 0 THEN 'bad body' END"}
+
+
+@query("error_counts", f"SELECT count(*) FILTER (WHERE u <> '') AS n_upstream_errors, count(*) FILTER (WHERE a <> '') AS n_anonymize_errors FROM (SELECT {_FAILED['upstream_error']} AS u, {_FAILED['anonymize_error']} AS a FROM events)")
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.error_counts(table(spark, sf_dir, "events").select(*(F.expr(e).alias(c) for c, e in _FAILED.items())))
+
+
 _LANGS = "lang AS (SELECT doc_id, lang FROM documents)\n"
 
 
@@ -463,10 +528,10 @@ def pii_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rollup(_spans(spark, sf_dir).join(langs, "doc_id"), "lang", "pii_type")
 
 
-@query("model_counts", chain_sql(ALL).rstrip() + ",\n" + _VERDICTS + "SELECT count(DISTINCT s.original) AS n_dispatches, count(*) AS n_fallbacks, 1 AS n_errors FROM spans WHERE s.confidence < 0.7 AND s.original NOT IN (SELECT original FROM verdicts)")
+@query("model_counts", chain_sql(ALL).rstrip() + ",\n" + _VERDICTS + "SELECT count(DISTINCT s.original) AS n_dispatches, count(*) AS n_fallbacks, (SELECT count(*) + 1 FROM orders WHERE o_orderkey % 7 = 0) AS n_errors FROM spans WHERE s.confidence < 0.7 AND s.original NOT IN (SELECT original FROM verdicts)")
 def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(_spans(spark, sf_dir), "spans")
-    return M.model_counts(C.resolve(found, _verdicts(found)), spark.createDataFrame([(a,) for a in _ANSWERS], "response string"))
+    return M.model_counts(C.resolve(found, _verdicts(found)), _answers(spark, sf_dir))
 
 
 @query(
