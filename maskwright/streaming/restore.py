@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,45 +27,35 @@ def with_tokens(lines: DataFrame, tokens: DataFrame, session: str = "session_id"
     return lines.join(maps, session, "left").withColumn("provider", provider(F.col("host")))
 
 
-def restore_batch(lines: DataFrame) -> DataFrame:
-    """(stream_id, seq, part, line) of complete streams; the rows of one response are one group, of a response's size."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        stream = _Stream(key[0], None)
-        stream.take(rows)
-        stream.run(over=True)
-        return pd.DataFrame(stream.out, columns=["stream_id", "seq", "part", "line"])
-
-    columns = ["stream_id", "seq", "line" if "line" in lines.columns else F.lit(None).cast("string").alias("line"), *(["chunk"] if "chunk" in lines.columns else []), "last", "provider", "tokens"]
-    return lines.select(*columns).groupBy("stream_id").applyInPandas(run, OUT)
-
-
 #: What a stream keeps between micro-batches: text held back, the seq that comes next, lines that came before their turn, the
 #: provider, the token map (once, not with every line), bytes of an unfinished line, and the place of the last line written.
 STATE = "held string, next long, early string, provider string, tokens string, rest binary, seq long, part long"
 
 
 class _Stream:
-    """One stream between its micro-batches."""
+    """One stream, as its lines come."""
 
     def __init__(self, stream_id: str, kept: tuple | None):
         self.id = stream_id
         held, self.next, early, self.provider, tokens, rest, self.seq, self.part = kept or (None, 0, "{}", None, "{}", b"", 0, -1)
         self.held, self.tokens = held, json.loads(tokens)
-        self.early = {int(k): tuple(v) for k, v in json.loads(early).items()}  # seq -> (line or chunk, last)
+        # seq -> (line or chunk of bytes, last)
+        self.early = {int(k): (line if chunk is None else bytes.fromhex(chunk), last) for k, (line, chunk, last) in json.loads(early).items()}
         self.lines = LineAssembler(bytes(rest))
         self.out: list[tuple] = []
 
     def take(self, rows: pd.DataFrame) -> None:
         """Rows in any order; a seq that was seen before is left out."""
         for r in rows.itertuples():
-            if self.provider is None:
-                self.provider = r.provider
-            if not self.tokens and r.tokens is not None:
-                self.tokens = r.tokens if isinstance(r.tokens, dict) else dict(r.tokens)
-            if r.seq >= self.next:
-                chunk = getattr(r, "chunk", None)
-                self.early.setdefault(int(r.seq), (r.line if chunk is None else [bytes(chunk).hex()], bool(r.last)))
+            self.add(int(r.seq), r.line, getattr(r, "chunk", None), bool(r.last), r.provider, r.tokens)
+
+    def add(self, seq: int, line: str | None, chunk: bytes | None, last: bool, provider: str | None, tokens: dict | list | None) -> None:
+        if self.provider is None:
+            self.provider = provider
+        if not self.tokens and tokens is not None:
+            self.tokens = dict(tokens)
+        if seq >= self.next:
+            self.early.setdefault(seq, (line if chunk is None else bytes(chunk), last))
 
     def _show(self, seq: int, lines: Iterator[str] | list[str]) -> None:
         for line in lines:
@@ -78,7 +69,7 @@ class _Stream:
         while self.early and (over or self.next in self.early):
             seq = min(self.early) if over else self.next
             body, last = self.early.pop(seq)
-            for line in self.lines.feed(bytes.fromhex(body[0])) if isinstance(body, (list, tuple)) else [body or ""]:
+            for line in self.lines.feed(body) if isinstance(body, bytes) else [body or ""]:
                 self._show(seq, restorer.line(line))
             self.next = seq + 1
             over = over or last
@@ -90,7 +81,51 @@ class _Stream:
         return over
 
     def kept(self) -> tuple:
-        return self.held, self.next, json.dumps(self.early), self.provider, json.dumps(self.tokens), self.lines.rest, self.seq, self.part
+        early = {k: (None, b.hex(), last) if isinstance(b, bytes) else (b, None, last) for k, (b, last) in self.early.items()}
+        return self.held, self.next, json.dumps(early), self.provider, json.dumps(self.tokens), self.lines.rest, self.seq, self.part
+
+
+def _columns(lines: DataFrame) -> DataFrame:
+    """The operator's columns; what of line and chunk the frame lacks is null."""
+    have = [F.col(c) if c in lines.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("line", "string"), ("chunk", "binary"))]
+    return lines.select("stream_id", "seq", *have, "last", "provider", "tokens")
+
+
+def restore_batch(lines: DataFrame) -> DataFrame:
+    """(stream_id, seq, part, line) of complete streams, whether or not a line is marked last. Streams are dealt to partitions and
+    sorted, and restored as the lines come: a task holds what one stream holds back, not its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = None
+
+        def shown(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["stream_id", "seq", "part", "line"])
+
+        for b in batches:
+            out: list[tuple] = []
+            ids, seqs, texts, lasts, providers = (b.column(c).to_pylist() for c in ("stream_id", "seq", "line", "last", "provider"))
+            chunks, maps = b.column("chunk"), b.column("tokens")
+            for i, name in enumerate(ids):
+                if stream is None or stream.id != name:
+                    if stream is not None:
+                        stream.run(over=True)
+                        out += stream.out
+                    stream = _Stream(name, None)
+                tokens = None if stream.tokens else maps[i].as_py()  # a map is the same on every line of its stream
+                stream.add(seqs[i], texts[i], chunks[i].as_py() if texts[i] is None else None, bool(lasts[i]), providers[i], tokens)
+            if stream is not None:
+                if not any(last for _, last in stream.early.values()):  # the rest of it may be in the next batch
+                    stream.run()
+                out += stream.out
+                stream.out = []
+            if out:
+                yield shown(out)
+        if stream is not None:
+            stream.run(over=True)
+            if stream.out:
+                yield shown(stream.out)
+
+    return _columns(lines).repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, OUT)
 
 
 def restore_streaming(lines: DataFrame, idle: str | int | None = None) -> DataFrame:
@@ -117,8 +152,7 @@ def restore_streaming(lines: DataFrame, idle: str | int | None = None) -> DataFr
                 state.setTimeoutDuration(wait)
         yield pd.DataFrame(stream.out, columns=["stream_id", "seq", "part", "line"])
 
-    columns = ["stream_id", "seq", "line" if "line" in lines.columns else F.lit(None).cast("string").alias("line"), *(["chunk"] if "chunk" in lines.columns else []), "last", "provider", "tokens"]
-    return lines.select(*columns).groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return _columns(lines).groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def read_chunks(spark: SparkSession, path: str, size: int = 32 << 10, streaming: bool = False) -> DataFrame:
