@@ -587,10 +587,12 @@ def stream_lines(spark: SparkSession, sf_dir: str, name: str, width: int = 24) -
     mail = F.concat(F.lit("user"), F.col("conv_id"), F.lit("@example.com"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", mail.alias("original"), token("EMAIL", mail).alias("token"))
     text = F.expr(_said(name, "token"))
-    size = 1 << 30 if name == "passthrough" else width
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")), lambda i: F.substr(text, i * size + 1, F.lit(size)))
+    # one pass over the text: a substring for each piece would count, and make, the whole text again for every one
+    pieces = F.array(text) if name == "passthrough" else F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
     before, after = _event(name, "@@").split("@@")
-    lines = turns.select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.col("conv_id").alias("session_id"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("seq", "piece"))
+    # pieces first: what stands beside a generator is computed anew for each of its rows
+    cut = turns.select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.col("conv_id").alias("session_id"), pieces.alias("pieces"), F.size(pieces).alias("n"))
+    lines = cut.select("stream_id", "session_id", "n", F.posexplode("pieces").alias("seq", "piece"))
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("piece").alias("x"))), '^[{]"x":"(.*)"[}]$', 1) if name != "replicate" else F.col("piece")
     lines = lines.select("stream_id", "session_id", F.col("seq").cast("long").alias("seq"), F.lit(_HOST[name]).alias("host"), F.concat(F.lit(before), quoted, F.lit(after)).alias("line"), (F.col("seq") == F.col("n") - 1).alias("last"))
     return lines, turns.select(F.col("conv_id").alias("session_id"), "token", "original").distinct()

@@ -66,8 +66,9 @@ class _Stream:
     def run(self, over: bool = False) -> bool:
         """Restore what is in turn; over: all there is. Whether the stream has ended."""
         restorer = StreamRestorer(self.provider or "passthrough", self.tokens, self.held)
-        while self.early and (over or self.next in self.early):
-            seq = min(self.early) if over else self.next
+        for seq in sorted(self.early):
+            if not over and seq != self.next:
+                break
             body, last = self.early.pop(seq)
             for line in self.lines.feed(body) if isinstance(body, bytes) else [body or ""]:
                 self._show(seq, restorer.line(line))

@@ -129,3 +129,18 @@ def test_flushing_sink(tmp_path):
     for r in rows:  # a retried batch
         sink.process(r)
     assert len(file.read_text().splitlines()) == 3
+
+
+def test_long_texts_in_linear_time(spark, tmp_path):
+    """A text of 1 MB is cut, and its stream restored, in time by its length, not by its square."""
+    from maskwright.plans.queries import QUERIES
+
+    texts = [("é\n🙂 a[PII_ \r\n\"x\" " * 62_500)[:1_000_000], "", None, "short"]
+    spark.createDataFrame([(7, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    for name, plain in (("replicate", True), ("openai", False)):
+        began = time.time()
+        got = {r.stream_id: r.shown for r in QUERIES[f"stream_deanonymize_{name}"](spark, f"file://{tmp_path}").collect()}
+        assert time.time() - began < 45, name
+        mail = "user7@example.com"
+        said = [(t or "").replace("\n", " ").replace("\r", " ") if plain else t or "" for t in texts]
+        assert got == {f"7-{k}": f"{t} hello {mail} and {mail}!" for k, t in enumerate(said)}
