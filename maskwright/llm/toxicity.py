@@ -1,15 +1,16 @@
 """Toxicity: a character n-gram linear classifier on features scaled by naive Bayes log-count ratios.
 
-Features are the distinct character n-grams that begin at a word's bound (3 to 10 code points with the bound, so stems, their
-inflected forms and whole short words; letters lower-cased) of the whole text, hashed to 2^19 places. N-grams from within
-words were tried and lowered held-out recall. Place j is scaled by r_j = log of (the share of toxic training texts with j, smoothed, over
+Features are the distinct character n-grams of the whole text, letters lower-cased: those that begin at a word's bound (3 to 10
+code points with the bound, so stems, their inflected forms and whole short words) and those that begin at any letter of a word
+(3 to 6 code points, its closing bound included, so stems after a prefix or in a compound), each kind hashed to 2^19 places of
+its own. The second kind counts `INNER` times as much, since a word has several such n-grams for one of the first. Place j is scaled by r_j = log of (the share of toxic training texts with j, smoothed, over
 the share of the others), so a place seen alike in both classes weighs next to nothing, and the vector is scaled to unit
 length. A logistic regression on these vectors, with rare toxic texts weighted up, gives the score. Long texts are scored
 whole, as presence does not grow with repetition.
 
 The classifier is fitted on a bounded sample of labelled rows, `most_rows` (the documented parameter): those with the
 smallest hash of their id; rows that the caller holds out are never read for it. Only hashed places of the sample reach the
-driver, and only the two vectors of 2^19 numbers go to the tasks. Scoring is one map pass; nothing is shuffled but the join of
+driver, and only the two vectors of 2^20 numbers go to the tasks. Scoring is one map pass; nothing is shuffled but the join of
 labels to documents for the sample.
 
 Defined cases: null text is the empty text, which has no feature and so the base score; labels other than 0 and 1, null
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import slices
 
-BITS = 19
+BITS = 19  # of the places of one kind
+PLACES = 2 << BITS  # word starts, then all positions within words
 LONGEST = 10
+SHORTEST_INNER, LONGEST_INNER = 3, 6
+INNER = 0.5
 _GAP = re.compile(r"[\W_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,71 +44,89 @@ class Places:
     """The distinct hashed n-grams of a text; one scratch table is reused for all texts."""
 
     def __init__(self) -> None:
-        self.seen = np.zeros(1 << BITS, bool)
+        self.seen = np.zeros(PLACES, bool)
+
+    def _mark(self, c: np.ndarray, start: np.ndarray, room: np.ndarray, h: np.ndarray, shortest: int, longest: int, base: int) -> None:
+        """Marks the n-grams from each start; room: the code points from there to the word's end, its bound included."""
+        for n in range(2, longest + 1):
+            fits = room >= n
+            start, room, h = start[fits], room[fits], h[fits]
+            h = (h ^ (h >> np.uint64(29))) * _MUL + c[start + n - 1]
+            if n >= shortest:
+                self.seen[((h * _MUL) >> np.uint64(64 - BITS)).astype(np.int64) + base] = True
 
     def __call__(self, text: str | None) -> np.ndarray:
         clean = f" {_GAP.sub(' ', (text or '').lower()).strip()} "
         c = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         gaps = np.flatnonzero(c == 32)
-        start, room = gaps[:-1], np.diff(gaps) + 1  # room: a word with both its bounds
-        h = np.full(len(start), 32, np.uint64)
-        for n in range(2, LONGEST + 1):
-            fits = room >= n
-            start, room, h = start[fits], room[fits], h[fits]
-            h = (h ^ (h >> np.uint64(29))) * _MUL + c[start + n - 1]
-            if n > 2:
-                self.seen[((h * _MUL) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        size = np.diff(gaps)
+        self._mark(c, gaps[:-1], size + 1, np.full(len(size), 32, np.uint64), 3, LONGEST, 0)
+        letters = np.flatnonzero(c != 32)
+        left = np.repeat(gaps[1:], size - 1) - letters + 1  # to the closing bound
+        self._mark(c, letters, left, c[letters], SHORTEST_INNER, LONGEST_INNER, 1 << BITS)
         found = np.flatnonzero(self.seen)
         self.seen[found] = False
         return found
 
 
 class ToxicityModel:
-    """weight: of a place in a unit vector, already times r; square: r squared, for the length; bias; or a constant share."""
+    """weight: of a place in a unit vector, already times r; square: r squared, for the length; bias; or a constant share.
+    Places within words count `INNER` times in both."""
 
     def __init__(self, places: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, penalty: float = 3e-5, rounds: int = 40):
         self.share = float(labels.mean()) if len(labels) else 0.0
-        self.weight = self.square = np.zeros(1 << BITS, np.float32)
+        self.weight = self.square = np.zeros(PLACES, np.float32)
         self.bias = 0.0
         self.constant = not 0 < self.share < 1
         if self.constant:
             return
-        size = np.array([len(p) for p in places])
-        flat = np.concatenate(places)
-        row = np.repeat(np.arange(len(places)), size)
         y = labels.astype(float)
-        pos = alpha + np.bincount(flat, y[row], 1 << BITS)
-        neg = alpha + np.bincount(flat, 1 - y[row], 1 << BITS)
-        r = np.log((pos / (y.sum() + alpha)) / (neg / ((1 - y).sum() + alpha)))
-        x = r[flat]
-        norm = np.sqrt(np.bincount(row, x * x, len(places)))
-        x /= np.maximum(norm, 1e-9)[row]
+        pos, all_ = np.full(PLACES, alpha), np.full(PLACES, 2 * alpha)
+        for p, label in zip(places, y):  # a text's places are distinct
+            pos[p] += label
+            all_[p] += 1
+        r = np.log((pos / (y.sum() + alpha)) / ((all_ - pos) / ((1 - y).sum() + alpha)))
         # logistic loss with both classes of equal total weight to the power 1/2, by L-BFGS on (places in use, bias)
         # over the places of two texts or more
-        often = np.bincount(flat, minlength=1 << BITS) > 1
-        row, x, flat = row[often[flat]], x[often[flat]], flat[often[flat]]
-        used, col = np.unique(flat, return_inverse=True)
+        often = all_ - 2 * alpha > 1
+        used = np.flatnonzero(often)
+        column = np.cumsum(often, dtype=np.int32) - 1
+        scale = r.astype(np.float32)
+        scale[1 << BITS :] *= INNER
+        ends = np.concatenate(([0], np.cumsum([int(often[p].sum()) for p in places])))
+        col, x = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)  # filled in place: the driver holds the sample once
+        for a, b, p in zip(ends, ends[1:], places):
+            own = p[often[p]]
+            col[a:b] = column[own]
+            x[a:b] = scale[own] / max(float(np.linalg.norm(scale[p])), 1e-9)
         w = np.where(y > 0, ((1 - y).sum() / y.sum()) ** 0.5, 1.0)
         w /= w.sum()
+        step = 64  # texts at once: the products of all would take several times the sample
 
         def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-            z = np.bincount(row, x * v[col], len(places)) + v[-1]
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            g = w * (p - y)
-            value = float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * penalty * (v[:-1] @ v[:-1]))
-            return value, np.append(np.bincount(col, g[row] * x, len(used)) + penalty * v[:-1], g.sum())
+            value, grad = 0.5 * penalty * float(v[:-1] @ v[:-1]), np.append(penalty * v[:-1], 0.0)
+            for at in range(0, len(y), step):
+                own = ends[at : at + step + 1]
+                xs, cs, ys, ws = x[own[0] : own[-1]], col[own[0] : own[-1]], y[at : at + step], w[at : at + step]
+                row = np.repeat(np.arange(len(ys)), np.diff(own))
+                z = np.bincount(row, xs * v[cs], len(ys)) + v[-1]
+                g = ws * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - ys)
+                value += float((ws * (np.logaddexp(0, z) - ys * z)).sum())
+                grad[:-1] += np.bincount(cs, g[row] * xs, len(used))
+                grad[-1] += g.sum()
+            return value, grad
 
         v = minimize(loss, np.zeros(len(used) + 1), rounds)
-        self.weight = np.zeros(1 << BITS, np.float32)
-        self.weight[used] = (v[:-1] * r[used]).astype(np.float32)
-        self.square = (r * r).astype(np.float32)
-        self.square[np.setdiff1d(np.arange(1 << BITS), used)] = 0
+        self.weight = np.zeros(PLACES, np.float32)
+        self.weight[used] = (v[:-1] * scale[used]).astype(np.float32)
+        self.square = np.where(often, r * r, 0).astype(np.float32)
         self.bias = float(v[-1])
 
     def score(self, places: np.ndarray) -> float:
         if self.constant:
             return self.share
-        length = float(self.square[places].sum()) ** 0.5
+        cut = int(np.searchsorted(places, 1 << BITS))
+        length = float(self.square[places[:cut]].sum() + INNER * INNER * self.square[places[cut:]].sum()) ** 0.5
         z = (float(self.weight[places].sum()) / length if length else 0.0) + self.bias
         return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 

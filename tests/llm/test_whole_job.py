@@ -65,3 +65,20 @@ def test_unclosed_elements_keep_the_rest():
     assert shown("<p>one <svg><text>x</text></svg> two</p>") == ["one two"]
     assert shown("<p>when <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>end") == ["when x=2 holds", "end"]
     assert shown("<p>a<script>x <p>b") == ["a"]
+
+
+def test_stems_within_words_are_seen():
+    """Toxic stems after a prefix or in a compound, also if learned only there; every position of a word counts."""
+    import numpy as np
+    from maskwright.llm.toxicity import BITS, Places, ToxicityModel
+
+    rng, places = random.Random(9), Places()
+    plain = [words(rng, 20).split() for _ in range(200)]
+    texts = [" ".join([*w[:9], f"{rng.choice(('un', 'over', 'mis'))}vexbad{rng.choice(('', 'ness', 'ly'))}", *w[9:]]) if k % 4 == 0 else " ".join(w) for k, w in enumerate(plain)]
+    model = ToxicityModel([places(t) for t in texts], np.array([int(k % 4 == 0) for k in range(200)]))
+    for _ in range(20):
+        some = words(rng, 20)
+        assert all(model.score(places(f"{some} {w} {some}")) >= 0.5 for w in ("quvexbad", "zzvexbadzz", "VEXBAD")) and model.score(places(some)) < 0.5
+    inner = places("x abcdefg")[places("x abcdefg") >= 1 << BITS]
+    grams = {w[i : i + n] for w in ("x ", "abcdefg ") for i in range(len(w)) for n in range(3, 7) if i + n <= len(w)}
+    assert len(inner) == len(grams) and len(places("")) == 0
