@@ -82,3 +82,22 @@ def test_stems_within_words_are_seen():
     inner = places("x abcdefg")[places("x abcdefg") >= 1 << BITS]
     grams = {w[i : i + n] for w in ("x ", "abcdefg ") for i in range(len(w)) for n in range(3, 7) if i + n <= len(w)}
     assert len(inner) == len(grams) and len(places("")) == 0
+
+
+def test_stage_joins_simhash_groups(spark):
+    """The second stage keeps op7's groups whole, also where texts have no shared band: SimHash links under a Jaccard of 0.8."""
+    import corpus_pipeline
+    from maskwright.llm.near_copies import near_copy_groups
+    from maskwright.llm.simhash import fingerprint, near_duplicate_groups
+
+    rng = random.Random(4)
+    base = words(rng, 7)
+    loud = [(k, f"{(base + ' ') * 40}{words(rng, 14)}".strip()) for k in range(3)]  # one passage over and over: few bits differ, few shingles are shared
+    rows = [*loud, *((k, words(rng, 50)) for k in range(10, 14)), (20, loud[2][1]), (None, loud[0][1])]
+    assert all((fingerprint(a) ^ fingerprint(b)).bit_count() <= 4 for _, a in loud for _, b in loud)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = {r.doc_id: r.component_id for r in near_copy_groups(docs).collect() if r.doc_id is not None}
+    assert alone[1] == 1 and alone[20] == 2
+    op7 = {r.doc_id: r.component_id for r in near_duplicate_groups(docs).collect()}
+    assert op7[1] == op7[2] == op7[20] == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 10, 11, 12, 13]
