@@ -213,25 +213,39 @@ def lms_order(ind: Inducer, hasher: RangeHasher) -> tuple[np.ndarray, np.ndarray
     size = end - lms
     fresh = np.append(True, (mark[order[1:]] != mark[order[:-1]]) | (size[order[1:]] != size[order[:-1]]))
     rank, k = _ranks(order, fresh), 1
+    bits = len(lms).bit_length()
     while not fresh.all() and 2 * k <= cap + 2:
-        pair = (rank + 1) << 32
+        pair = (rank + 1) << bits
         pair[: len(pair) - k] |= rank[k:] + 1
-        order = np.argsort(pair, kind="stable")
-        fresh = np.append(True, pair[order[1:]] != pair[order[:-1]])
+        if 3 * bits <= 63:  # the place fits beside the names: numbers sort faster than places by them
+            packed = np.sort((pair << bits) | np.arange(len(pair)))
+            order, pair = packed & ((1 << bits) - 1), packed >> bits
+        else:
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+        fresh = np.append(True, pair[1:] != pair[:-1])
         rank, k = _ranks(order, fresh), 2 * k
     pos = lms[order]
-    return pos, common_prefixes(pos, n, hasher, cap)
-
-
-def common_prefixes(pos: np.ndarray, n: int, hasher: RangeHasher, cap: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before, up to the cap, by bisection on range hashes; 0 for the first."""
-    a, b = pos[:-1], pos[1:]
-    low, high = np.zeros(len(a), np.int64), np.minimum(cap, n - np.maximum(a, b))
+    # A suffix is induced by the LMS suffix that follows, at most `gap` bytes on: shorter prefixes can't grow to the cap.
+    gap = int(np.diff(lms, prepend=0, append=n).max())
+    least = cap - 2 * gap - 8
+    return pos, common_prefixes(pos, n, hasher, cap, least if least > gap else 0)
+
+
+def common_prefixes(pos: np.ndarray, n: int, hasher: RangeHasher, cap: int, least: int = 0) -> np.ndarray:
+    """Common prefix of each suffix with the one before, up to the cap, by bisection on range hashes; 0 for the first, and for
+    prefixes shorter than `least`."""
+    out = np.zeros(len(pos), np.uint16)
+    own = np.flatnonzero(n - np.maximum(pos[:-1], pos[1:]) >= least)
+    own = own[hasher(pos[own], pos[own] + least) == hasher(pos[own + 1], pos[own + 1] + least)]
+    a, b = pos[own], pos[own + 1]
+    low, high = np.full(len(a), least, np.int64), np.minimum(cap, n - np.maximum(a, b))
     while (low < high).any():
         mid = (low + high + 1) >> 1
         same = hasher(a, a + mid) == hasher(b, b + mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return np.append(0, low).astype(np.uint16)
+    out[own + 1] = low
+    return out
 
 
 def repeated_starts(text: np.ndarray, length: int, memory_rows: int = 4_000_000, memory_bytes: int = 64 << 20, folder: str | None = None) -> np.ndarray:
